@@ -22,18 +22,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.mixing import mix_to_targets
+
+    return mix_to_targets(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.jaccard_join import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir), size=3, percent=90)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import judge_quality
+
+    return judge_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.packing import pack_documents
 
     return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), size=400)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.language_id import language_id
 
@@ -58,5 +80,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_jaccard_join, op4_best_fit_packing, op6_language_id, op7_url_filter, op8_token_ids, op9_nearest_neighbours)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.secrets import secret_report
+
+    return secret_report(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_quality_rules, op4_best_fit_packing, op5_repeated_substrings, op6_language_id, op7_url_filter, op8_token_ids, op9_nearest_neighbours, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}

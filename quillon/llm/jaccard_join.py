@@ -304,3 +304,18 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots
     full = least.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = of_docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.union(empty)
+
+
+def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """Rows of ``docs``, one of each group of linked documents: that with the smallest doc_id.
+
+    Repeated rows with one doc_id stay once; rows without doc_id that are linked with none that has one all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.table(jaccard_components(docs, size, percent), "components")
+    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    ids = ids.select(F.col("doc_id").alias("its_id"), "copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id"))
+    rows = docs.join(ids.hint("shuffle_hash"), same)
+    single = rows.where("copies = 1 or its_id is null").select(*docs.columns)
+    return single.unionByName(rows.where("copies > 1 and its_id is not null").select(*docs.columns).dropDuplicates(["doc_id"]))
