@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillon.llm.native_text import bucket, hashed, literal_array, lookup_sum, text_of, word_array
 from quillon.llm.scratch import Scratch
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 15
 DOMAINS = ("good", "plain", "toxic")
 
 
@@ -91,7 +91,7 @@ def fit_rates(table: DataFrame, totals: list[float], scratch: Scratch, rounds: i
     return state
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.70, 0.28, 0.02), budget: float = 1.0, train_docs: int = 20_000, evidence: float = 12.0, rounds: int = 40, tolerance: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.70, 0.28, 0.02), budget: float = 1.0, train_docs: int = 20_000, evidence: float = 64.0, rounds: int = 40, tolerance: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_tokens, p_<domain>, rate.
 
     shares: target share of each of ``DOMAINS`` in the mixed tokens; budget: mixed tokens as a multiple of the corpus's.
