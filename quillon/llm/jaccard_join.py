@@ -11,10 +11,12 @@ combinations to stay near the length of the prefix, and is worth 1 from the k-th
 a partner lacks, a combination remains that both prefixes hold. Frequencies come from counters over all documents, in a
 table of fixed size: where shingles share a counter they are only thought more frequent.
 
-Candidates. Within a signature all sets are compared with a few pivots; links are verified exactly, and only sets of one
-signature that are still in different components are compared with each other, each pair once. So a group of thousands
-of near copies costs rows in proportion to its size. Before texts are fetched, pairs whose folded bucket counts already
-bound the shared shingles too low are dropped (the bound is exact).
+Candidates. Every signature is filed under its pivot, the set of it that hashes least, and each set once under each of
+its pivots, so two sets that share a signature meet under that signature's pivot. Near copies share hundreds of
+signatures but few pivots: a group of thousands costs rows in proportion to its size. Sets of a small pivot group go on
+only where folded bucket counts don't already bound the shared shingles of a pair too low (the bound is exact); a large
+group is cut into blocks of bounded size, and each pair of blocks is verified by one matrix product of its sets. What
+leaves a block is a spanning star of each linked part, never its pairs.
 
 Defined results: null text, or none but white space: empty set, linked with nothing; fewer words than ``size``: the
 whole sequence is one shingle; repeated rows are separate documents with one set; null doc_ids are kept, their component
@@ -37,7 +39,8 @@ from quillon.llm.kernels import _K, U, mix, shingles, signed, slices
 from quillon.llm.scratch import Scratch
 
 #: Counters of the frequency table: one byte each, so this many bytes are broadcast, whatever the corpus.
-CELLS = 1 << 24
+BITS = 25
+CELLS = 1 << BITS
 SLICES = 32
 _DOCS = "doc_id long, set_id long, n long, folded binary, cells binary, slice int"
 BUCKET = 1.25
@@ -106,7 +109,7 @@ class Signatures:
         w = 3 * need + 12
         while True:
             p = u[:w]
-            seen = self.counters[(p >> U(64 - 24)).astype(np.int64)]
+            seen = self.counters[(p >> U(64 - BITS)).astype(np.int64)]
             k = np.where(seen <= self.rare, 1, np.where(seen <= self.frequent, 2, 4))
             sub = np.full(len(p), -1, np.int64)
             spread = mix(p ^ U(0xA24BAED4963EE407)) >> U(33)
@@ -161,9 +164,9 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     ns.append(len(u))
                     folds.append(folded(u) if len(u) else b"")
                     if may := missing(len(u), percent):
-                        heads.append(u[: 2 * may + 6])
+                        heads.append(u[: may + may // 4 + 6])
                 if heads:
-                    np.add.at(counts, (np.concatenate(heads) >> U(64 - 24)).astype(np.int64), 1)
+                    np.add.at(counts, (np.concatenate(heads) >> U(64 - BITS)).astype(np.int64), 1)
                     np.minimum(counts, 60_000, out=counts)
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(folds, pa.binary()), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.int32())], ["doc_id", "set_id", "n", "folded", "cells", "slice"])
         step = CELLS // SLICES
@@ -221,84 +224,127 @@ def signature_rows(docs: DataFrame, table: np.ndarray, size: int, percent: int)
     return _columns(docs).select("text").mapInArrow(read, "sig long, set_id long, n int")
 
 
-def _could_link(a: str, b: str, percent: int):
-    """Sizes that allow a link, as a condition on two columns."""
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent).alias("fits")
-
-
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that the folded counts don't rule out. sets: set_id, n, folded."""
+    """Of pairs (pivot, a, b) those that the folded counts don't rule out. sets: set_id, n, folded."""
     x = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("folded").alias("fa"))
     y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("folded").alias("fb"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-            fa, fb = batch.column(4), batch.column(5)
-            ok = [linked(min(shared_bound(x.as_py(), y.as_py()), p, q), p, q, percent) for x, y, p, q in zip(fa, fb, na.tolist(), nb.tolist(), strict=True)]
-            ok = np.array(ok, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(keep, "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, per_group: int = 256) -> DataFrame:
-    """Of pairs (a, b: set ids) the linked ones, by their texts. Members of a pivot b are verified in groups of bounded size."""
-    texts = sets.select("set_id", "doc_id")
-    salted = pairs.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")), "b")
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / per_group)).cast("int")).select("a", "b", "salt")
-    need = salted.select(F.col("b").alias("pivot"), "salt", F.col("a").alias("set_id")).union(salted.select(F.col("b").alias("pivot"), "salt", F.col("b").alias("set_id")).distinct())
-    with_text = need.join(texts, "set_id").hint("shuffle_hash").join(_columns(docs), "doc_id").select("pivot", "salt", "set_id", "text")
-
-    def check(key, table):
-        pivot, ids = key[0].as_py(), table.column("set_id").to_pylist()
-        sets_ = dict(zip(ids, (u for i, j, d, o in slices(table.column("text")) for u in shingles(d, o, size)), strict=True))
-        mine = sets_.pop(pivot)
-        out = [k for k, u in sets_.items() if linked(len(np.intersect1d(mine, u, assume_unique=True)), len(mine), len(u), percent)]
-        return pa.table({"a": pa.array(out, pa.int64()), "b": pa.array([pivot] * len(out), pa.int64())})
-
-    return with_text.groupBy("pivot", "salt").applyInArrow(check, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, pivots: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+            na, nb, fa, fb = (batch.column(k) for k in range(3, 7))
+            ok = [linked(min(shared_bound(p.as_py(), q.as_py()), m, n), m, n, percent) for p, q, m, n in zip(fa, fb, na.to_pylist(), nb.to_pylist(), strict=True)]
+            yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("pivot", "a", "b", "na", "nb", "fa", "fb").mapInArrow(keep, "pivot long, a long, b long")
+
+
+def linked_parts(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of the left and right sets, equal where a chain of links between the sides joins them (labels index the left)."""
+    n, m = len(left), len(right)
+    size = np.array([len(u) for u in left + right], np.int64)
+    tokens = np.concatenate(left + right)
+    row = np.repeat(np.arange(n + m), size)
+    _, at, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    keep = count[at] > 1
+    row, at = row[keep], np.unique(at[keep], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((n, m), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):  # exact: counts stay far below 2**24
+        i, j = np.searchsorted(at, [lo, lo + 2048])
+        dense = np.zeros((n + m, 2048), np.float32)
+        dense[row[i:j], at[i:j] - lo] = 1
+        shared += dense[:n] @ dense[n:].T
+    total = size[:n, None] + size[None, n:]
+    link = (shared * 100 >= percent * (total - shared)) & (shared > 0)
+    a, b = np.arange(n), np.full(m, n)
+    while True:
+        b2 = np.minimum(b, np.where(link, a[:, None], n).min(axis=0))
+        a2 = np.minimum(a, np.where(link, b2[None, :], n).min(axis=1))
+        if (a2 == a).all() and (b2 == b).all():
+            return a, b
+        a, b = a2, b2
+
+
+def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is linked within each group. members: set_id, group (pivot, i, j), left, right: which side of it."""
+    seats = members.groupBy("set_id").agg(F.collect_list(F.struct("pivot", "i", "j", "left", "right")).alias("seats"))  # as many as a set has signatures at most
+    wanted = sets.select("set_id", "doc_id").join(seats, "set_id")
+    rows = _columns(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("set_id", "text", "seats")
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, seats_ = batch.column(0).to_pylist(), batch.column(2)
+            for i, _, data, off in slices(batch.column(1)):
+                for k, u in enumerate(shingles(data, off, size)):
+                    places, body = seats_[i + k].as_py(), u.tobytes()
+                    for c in range(0, len(places), 64):
+                        part = places[c : c + 64]
+                        n = len(part)
+                        cols = [pa.array([x[f] for x in part], t) for f, t in (("pivot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("left", pa.bool_()), ("right", pa.bool_()))]
+                        yield pa.RecordBatch.from_arrays([*cols, pa.array([ids[i + k]] * n, pa.int64()), pa.array([body] * n, pa.binary())], ["pivot", "i", "j", "left", "right", "set_id", "body"])
+
+    seated = rows.mapInArrow(seat, "pivot long, i int, j int, left boolean, right boolean, set_id long, body binary")
+
+    def check(table):
+        ids = table.column("set_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))]
+        sides = []
+        for name in ("left", "right"):
+            on = table.column(name).to_numpy(zero_copy_only=False)
+            at = [k for k in order.tolist() if on[k]]
+            sides.append((ids[at], [np.frombuffer(table.column("body")[k].as_buffer(), U) for k in at]))
+        (x, left), (y, right) = sides
+        if not left or not right:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = linked_parts(left, right, percent)
+        names = np.append(x, 0)
+        pairs = np.concatenate((np.stack((x, names[a])), np.stack((y[b < len(x)], names[b[b < len(x)]]))), axis=1)
+        pairs = pairs[:, pairs[0] != pairs[1]]
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+    return seated.groupBy("pivot", "i", "j").applyInArrow(check, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, small: int = 24, block_sets: int = 1024, block_shingles: int = 500_000) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
+
+    small: largest pivot group whose pairs are listed; block_sets, block_shingles: size of a block of a larger one.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.table(first_pass(docs, size, percent), "sets")
     table = counters(rows)
     of_docs = rows.where("slice is null").select("doc_id", "set_id", "n", "folded")
     sets = of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("folded").alias("folded"))
 
-    by_sig = "over (partition by sig)"
+    over = "over (partition by sig)"
     found = signature_rows(docs, table, size, percent)
-    salts = [f"min(struct(xxhash64(set_id, {k}), set_id, n)) {by_sig} as p{k}" for k in range(pivots)]
-    shared = found.selectExpr("sig", "set_id", "n", f"min(set_id) {by_sig} as lo", f"max(set_id) {by_sig} as hi", *salts).where("lo <> hi")
-    shared = scratch.table(shared.select("sig", "set_id", "n", *(f"p{k}" for k in range(pivots))), "shared")
+    shared = found.selectExpr("set_id", "n", f"min(struct(xxhash64(set_id) as h, set_id)) {over} as pivot", f"min(set_id) {over} as lo", f"max(set_id) {over} as hi").where("lo <> hi")
+    seats = scratch.table(shared.select(F.col("pivot.set_id").alias("pivot"), "set_id", "n").distinct(), "seats")
     scratch.settle()
 
-    stars = shared.select("set_id", "n", F.explode(F.array(*(F.col(f"p{k}") for k in range(pivots)))).alias("p"))
-    stars = stars.where((F.col("set_id") != F.col("p.set_id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent))
-    stars = stars.select(F.greatest("set_id", "p.set_id").alias("x"), F.least("set_id", "p.set_id").alias("y")).distinct()
-    # the pivot of a pair is the side that hashes lower, as in the choice of pivots: near copies meet at few of them
-    pivoted = lambda p: p.select(F.when(F.xxhash64("x") < F.xxhash64("y"), F.col("y")).otherwise(F.col("x")).alias("a"), F.when(F.xxhash64("x") < F.xxhash64("y"), F.col("x")).otherwise(F.col("y")).alias("b"))
-    likely = scratch.table(bounded(pivoted(stars), sets, percent), "stars")
-    links = scratch.table(verified(likely, sets, docs, size, percent), "links")
+    groups = seats.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("m") / block_sets, F.col("shingles") / block_shingles)).cast("int")
+    groups = scratch.table(groups.select("pivot", "m", blocks.alias("blocks")), "groups")
+    few = seats.join(groups.where(F.col("m") <= small).select("pivot"), "pivot")
+    x, y = few.select("pivot", F.col("set_id").alias("a"), F.col("n").alias("p")), few.select("pivot", F.col("set_id").alias("b"), F.col("n").alias("q"))
+    pairs = x.join(y, "pivot").where((F.col("a") < F.col("b")) & (F.least("p", "q") * 100 >= F.greatest("p", "q") * percent))
+    pairs = pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
+    likely = scratch.table(bounded(pairs, sets, percent), "likely")
+    one = F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right")
+    small_members = likely.select(F.explode(F.array("a", "b")).alias("set_id"), "pivot").distinct().select("set_id", "pivot", *one)
+    many = seats.join(groups.where(F.col("m") > small), "pivot").withColumn("mine", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = many.select("set_id", "pivot", "mine", other).select("set_id", "pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+    large_members = spread.select("set_id", "pivot", "i", "j", (F.col("mine") == F.col("i")).alias("left"), (F.col("mine") == F.col("j")).alias("right"))
+    members = scratch.table(small_members.union(large_members), "members")
+    scratch.settle()
+    links = scratch.table(verified(members, sets, docs, size, percent), "links")
+    scratch.drop(seats, members, likely)
     scratch.settle()
     comp = scratch.table(components(links, scratch), "components")
 
-    # sets that share a signature and aren't joined yet
-    named = shared.select("sig", "set_id", "n").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    open_ = named.selectExpr("*", f"min(component) {by_sig} as lo", f"max(component) {by_sig} as hi").where("lo <> hi").drop("lo", "hi")
-    open_ = scratch.table(open_, "open")
-    left = open_.select("sig", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = open_.select("sig", F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    fits = (F.col("x") > F.col("y")) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    cross = left.join(right, "sig").where(fits).select("x", "y").distinct()
-    rest = scratch.table(bounded(pivoted(cross), sets, percent).join(likely, ["a", "b"], "left_anti"), "cross")
-    if rest.head(1):
-        more = scratch.table(verified(rest, sets, docs, size, percent), "more")
-        comp = scratch.table(components(links.union(more), scratch), "components")
-        scratch.settle()
-
     least = of_docs.where("n > 0").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     full = least.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

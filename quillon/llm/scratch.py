@@ -7,6 +7,7 @@ only where it is unset, as in tests), so a lost executor never takes the only co
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,14 +42,19 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return path
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this call that nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            for file in table.inputFiles()[:1]:
+                folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+                if self.root.split("://")[-1] in folder.toString():
+                    folder.getFileSystem(conf).delete(folder, True)
+
     def settle(self) -> None:
         """Let Spark's cleaner remove shuffle files of finished steps, which otherwise stay until the driver's next collection."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
-def salts_for(count_column, per_salt: int):
-    """Number of salts that keeps each part of a hot group at ``per_salt`` rows or fewer on average."""
-    from pyspark.sql import functions as F
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)  # the cleaner works in a thread of its own
 
-    return F.greatest(F.lit(1), F.ceil(count_column / F.lit(per_salt))).cast("int")
