@@ -33,7 +33,7 @@ from quillon.llm.kernels import U, mix, powers, prefix_hash, range_hash, signed,
 from quillon.llm.native_text import text_of
 from quillon.llm.scratch import Scratch
 
-GRAM = 128
+GRAM = 256
 _POS = 24
 _ROW = "trigger long, phrase long, uid long, lo int, span int"
 
@@ -129,6 +129,7 @@ def repeated_ranges(docs: DataFrame, size: int, gram: int, scratch: Scratch) ->
     triggers = rows.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("p"), F.max("phrase").alias("q")).where("n > 1")
     triggers = scratch.table(triggers.select("trigger", (F.col("p") != F.col("q")).alias("several")), "triggers")
     live = scratch.table(rows.join(triggers, "trigger"), "live")
+    scratch.drop(rows, triggers)
     scratch.settle()
     entries = live.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "span")).alias("at"), F.first("several").alias("several"))
     entries = scratch.table(entries, "dictionary")
@@ -141,9 +142,12 @@ def repeated_ranges(docs: DataFrame, size: int, gram: int, scratch: Scratch) ->
     wanted = docs.join(lists.hint("shuffle_hash"), "uid").select("uid", "text", "found")
     prefixes = scratch.table(suffix_prefixes(wanted, size), "prefixes")
     scratch.settle()
-    twice = prefixes.distinct().groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix")
+    twice = prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix")
     part = prefixes.where("asks").join(twice, "prefix").select("uid", F.col("start").alias("lo"), (F.col("start") + size).alias("hi"))
-    return whole.union(part)
+    ranges = scratch.table(whole.union(part), "ranges")
+    scratch.drop(live, entries, prefixes)
+    scratch.settle()
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, size: int = 400, gram: int = GRAM) -> DataFrame:
@@ -151,8 +155,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, gram: int = GRAM) -> DataFr
     scratch = Scratch(docs.sparkSession, "repeats")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     texts = texts.withColumn("uid", F.xxhash64("doc_id", "text"))
-    ranges = scratch.table(repeated_ranges(texts.select("uid", "text"), size, gram, scratch), "ranges")
-    scratch.settle()
+    ranges = repeated_ranges(texts.select("uid", "text"), size, gram, scratch)
     lists = ranges.groupBy("uid").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))  # ranges of one text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
