@@ -39,7 +39,7 @@ from quillon.llm.kernels import _K, U, mix, shingles, signed, slices
 from quillon.llm.scratch import Scratch
 
 #: Counters of the frequency table: one byte each, so this many bytes are broadcast, whatever the corpus.
-BITS = 25
+BITS = 26
 CELLS = 1 << BITS
 SLICES = 32
 _DOCS = "doc_id long, set_id long, n long, folded binary, cells binary, slice int"
@@ -154,7 +154,7 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Document rows (doc_id, set_id, n, folded), and each task's counters of prefix shingles in slices (cells, slice)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, np.uint16)
+        counts = np.zeros(CELLS, np.uint8)
         for batch in batches:
             keys = batch.column(0)
             for i, j, data, off in slices(batch.column(1)):
@@ -166,15 +166,15 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     if may := missing(len(u), percent):
                         heads.append(u[: may + may // 4 + 6])
                 if heads:
-                    np.add.at(counts, (np.concatenate(heads) >> U(64 - BITS)).astype(np.int64), 1)
-                    np.minimum(counts, 60_000, out=counts)
+                    at, more = np.unique(np.concatenate(heads) >> U(64 - BITS), return_counts=True)
+                    counts[at.astype(np.int64)] = np.minimum(counts[at.astype(np.int64)] + more, 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(folds, pa.binary()), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.int32())], ["doc_id", "set_id", "n", "folded", "cells", "slice"])
         step = CELLS // SLICES
         for s in range(SLICES):
             part = counts[s * step : (s + 1) * step]
             at = np.flatnonzero(part)
             if len(at):
-                packed = (at.astype(np.uint32) << np.uint32(8)) | np.minimum(part[at], 255).astype(np.uint32)
+                packed = (at.astype(np.uint32) << np.uint32(8)) | part[at].astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([s], pa.int32())], ["doc_id", "set_id", "n", "folded", "cells", "slice"])
 
     return _columns(docs).mapInArrow(read, _DOCS)
