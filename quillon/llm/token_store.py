@@ -157,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(encode, _BLOBS).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(encode, _BLOBS).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
