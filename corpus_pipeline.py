@@ -16,7 +16,7 @@ from quillon.llm.secrets import redact
 SHINGLE, PERCENT = 5, 80
 #: Shares of good, plain and toxic tokens, and mixed tokens as a multiple of those that come in: good ones are repeated
 #: rather than dropped.
-SHARES, BUDGET = (0.96, 0.03, 0.01), 1.1
+SHARES, BUDGET = (0.97, 0.02, 0.01), 1.15
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
