@@ -3,9 +3,9 @@
 A classifier fitted on the labelled table gives every document a posterior over domains; nonnegative document rates are
 then fitted so that the expected tokens of each domain match the targets: least squares in the domain totals (whitened
 by their Gram matrix, so a step of 1 is the right one), by projected gradient from rate 1, in the metric in which a
-token of any document weighs the same (equal posteriors get equal rates). An iteration aggregates one number a domain
-over all documents and moves every rate; only those numbers reach the driver, and every few iterations the rates are
-written, so plans stay short.
+token of any document weighs the same (equal posteriors get equal rates). An iteration aggregates a few numbers a domain
+over all documents and moves every rate; only those numbers reach the driver. A rate is a function of a document's
+posteriors and the steps, so no rates are kept between iterations.
 
 The classifier is naive Bayes over hashed words, fitted on at most ``train_docs`` labelled rows (the first by hash of
 their id, a documented bound). Word evidence counts as that of ``evidence`` words at most, so long texts stay soft.
@@ -69,29 +69,42 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], ev
     return rows.select("doc_id", "n_tokens", *carry, F.transform("e", lambda x: x / total).alias("p"))
 
 
-def fit_rates(table: DataFrame, totals: list[float], scratch: Scratch, rounds: int, tolerance: float) -> DataFrame:
-    """``table`` (n_tokens, p, ...) with column rate: nonnegative, expected domain tokens as near ``totals`` as they get."""
+def rate_of(steps: list[list[float]]) -> Column:
+    """The rate after ``steps``: from 1, each step moves it along the posteriors and back to 0 where it would be negative."""
+    rate = F.lit(1.0)
+    for step in steps:
+        move = sum((F.col("p")[j] * F.lit(x) for j, x in enumerate(step)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate + move)
+    return rate
+
+
+def fit_steps(table: DataFrame, totals: list[float], rounds: int, tolerance: float) -> list[list[float]]:
+    """Steps after which the expected domain tokens of ``table`` (n_tokens, p) are as near ``totals`` as any round came.
+
+    A round aggregates the domain totals, and their Gram matrix over documents whose rate isn't 0, which whitens the step.
+    """
     k = len(totals)
+    steps: list[list[float]] = []
+    best, best_gap, scale = 0, math.inf, max(sum(totals), 1.0)
     p = [F.col("p")[i] for i in range(k)]
-    gram = table.agg(*(F.sum(p[i] * p[j] * F.col("n_tokens")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(g, rcond=1e-12)
-    state = table.withColumn("rate", F.lit(1.0))
-    scale = max(sum(totals), 1.0)
-    for i in range(rounds):
-        got = state.agg(*(F.coalesce(F.sum(p[j] * F.col("rate") * F.col("n_tokens")), F.lit(0.0)).alias(f"t{j}") for j in range(k))).first()
-        gap = np.array(totals) - np.array([got[f"t{j}"] for j in range(k)])
-        if np.abs(gap).max() <= tolerance * scale:
+    for _ in range(rounds + 1):
+        state = table.withColumn("rate", rate_of(steps))
+        free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0)
+        sums = [F.sum(p[j] * F.col("rate") * F.col("n_tokens")).alias(f"t{j}") for j in range(k)]
+        grams = [F.sum(p[i] * p[j] * free).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = state.agg(*sums, *grams).first()
+        gap = np.array(totals) - np.array([got[f"t{j}"] or 0.0 for j in range(k)])
+        size = float(np.abs(gap).max())
+        if size < best_gap:
+            best, best_gap = len(steps), size
+        if size <= tolerance * scale:
             break
-        step = inverse @ gap
-        move = sum((p[j] * F.lit(float(step[j])) for j in range(k)), F.lit(0.0))
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + move))
-        if i % 5 == 4:
-            state = scratch.table(state, "rates")
-    return state
+        g = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        steps.append((np.linalg.pinv(g, rcond=1e-12) @ gap).tolist())
+    return steps[:best]
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.70, 0.28, 0.02), budget: float = 1.0, train_docs: int = 20_000, evidence: float = 64.0, rounds: int = 40, tolerance: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.70, 0.28, 0.02), budget: float = 1.0, train_docs: int = 20_000, evidence: float = 64.0, rounds: int = 15, tolerance: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_tokens, p_<domain>, rate.
 
     shares: target share of each of ``DOMAINS`` in the mixed tokens; budget: mixed tokens as a multiple of the corpus's.
@@ -99,10 +112,12 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...]
     if len(shares) != len(DOMAINS) or min(shares) < 0 or not math.isclose(sum(shares), 1.0):
         raise ValueError("shares must be nonnegative and sum to 1, one for each domain")
     scratch = Scratch(docs.sparkSession, "mixing")
-    table = scratch.table(posteriors(docs, fit_domains(docs, labels, train_docs), evidence, carry), "posteriors")
+    model = fit_domains(docs, labels, train_docs)
+    table = scratch.table(posteriors(docs, model, evidence), "posteriors")
     tokens = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    state = fit_rates(table, [s * budget * tokens for s in shares], scratch, rounds, tolerance)
-    return state.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", *carry)
+    steps = fit_steps(table, [s * budget * tokens for s in shares], rounds, tolerance)
+    rated = posteriors(docs, model, evidence, carry) if carry else table  # carried columns are never written
+    return rated.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), rate_of(steps).alias("rate"), *carry)
 
 
 def resample(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], budget: float, **options) -> DataFrame:
