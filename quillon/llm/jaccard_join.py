@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,14 +198,14 @@ def counters(rows: DataFrame) -> np.ndarray:
     summed = rows.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(add, "slice int, cells binary")
     out = np.zeros(CELLS, np.uint8)
     step = CELLS // SLICES
-    for r in summed.collect():
-        out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(r["cells"], np.uint8)
+    got = summed.toArrow()
+    for s, cells in zip(got.column("slice").to_pylist(), got.column("cells"), strict=True):
+        out[s * step : (s + 1) * step] = np.frombuffer(cells.as_buffer(), np.uint8)
     return out
 
 
-def signature_rows(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(sig, set_id, n) of every set, once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def signature_rows(docs: DataFrame, shared: Broadcast, size: int, percent: int) -> DataFrame:
+    """(sig, set_id, n) of every set, once a task. shared: the frequency table."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Signatures(shared.value, percent), set()
@@ -314,7 +315,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, small:
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.table(first_pass(docs, size, percent), "sets")
-    table = counters(rows)
+    table = docs.sparkSession.sparkContext.broadcast(counters(rows))  # CELLS bytes
     of_docs = rows.where("slice is null").select("doc_id", "set_id", "n", "folded")
     sets = of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("folded").alias("folded"))
 
@@ -322,6 +323,8 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, small:
     found = signature_rows(docs, table, size, percent)
     shared = found.selectExpr("set_id", "n", f"min(struct(xxhash64(set_id) as h, set_id)) {over} as pivot", f"min(set_id) {over} as lo", f"max(set_id) {over} as hi").where("lo <> hi")
     seats = scratch.table(shared.select(F.col("pivot.set_id").alias("pivot"), "set_id", "n").distinct(), "seats")
+    table.destroy()  # what it was for is written
+    del shared, found
     scratch.settle()
 
     groups = seats.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))

@@ -43,8 +43,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, train_docs: int, smooth: flo
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))  # at most train_docs ids
     words = rows.select("domain", F.explode(hashed(word_array(text_of()))).alias("h")).select("domain", bucket(F.col("h"), BUCKETS).alias("bucket"))
     counts = np.full((k, BUCKETS), smooth)
-    for r in words.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # domains x buckets rows
-        counts[r["domain"], r["bucket"]] += r["n"]
+    got = words.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")).toArrow()  # domains x buckets rows
+    counts[got.column("domain").to_numpy(), got.column("bucket").to_numpy()] += got.column("n").to_numpy()
     prior = np.full(k, 1.0)
     for r in known.groupBy("domain").count().collect():
         prior[r["domain"]] += r["count"]
@@ -112,6 +112,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...]
     if len(shares) != len(DOMAINS) or min(shares) < 0 or not math.isclose(sum(shares), 1.0):
         raise ValueError("shares must be nonnegative and sum to 1, one for each domain")
     scratch = Scratch(docs.sparkSession, "mixing")
+    scratch.settle()
     model = fit_domains(docs, labels, train_docs)
     table = scratch.table(posteriors(docs, model, evidence), "posteriors")
     tokens = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]

@@ -67,11 +67,11 @@ def log_ratios(docs: DataFrame, labels: DataFrame, trusted_docs: int, prior: flo
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed(word_array(text_of())).alias("hashes"))
     rows = rows.join(F.broadcast(good), F.col("doc_id") == F.col("trusted_id"), "left")  # at most trusted_docs ids
     grams = rows.select(F.col("trusted_id").isNotNull().cast("long").alias("trusted"), F.explode(gram_buckets(F.col("hashes"), BUCKETS)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("trusted")).collect()
+    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
     raw, trusted = [0.5] * BUCKETS, [0.0] * BUCKETS
-    for r in counts:
-        raw[r["bucket"]] += r["raw"]
-        trusted[r["bucket"]] += r["trusted"]
+    for b, r, t in zip(*(counts.column(c).to_pylist() for c in ("bucket", "raw", "trusted")), strict=True):
+        raw[b] += r
+        trusted[b] += t
     n, t = sum(raw), sum(trusted)
     return [math.log((c + prior * r / n) / (t + prior)) - math.log(r / n) for r, c in zip(raw, trusted, strict=True)]
 
