@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.native_text import bucket, hashed, literal_array, lookup_sum, text_of, word_array
+from quillon.llm.native_text import bucket, hashed, literal_array, lookup_sum, repeated, text_of, word_array
 from quillon.llm.scratch import Scratch
 
 BUCKETS = 1 << 15
@@ -126,5 +126,4 @@ def resample(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], budg
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     rated = mix_to_targets(rows, labels, shares, budget, carry=("row",), **options)
     chance = F.pmod(F.xxhash64(F.col("row.doc_id"), F.col("row.text"), F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(F.col("rate") + chance).cast("int")
-    return rated.select("row", copies.alias("copies")).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+    return repeated(rated, F.floor(F.col("rate") + chance).cast("int"))

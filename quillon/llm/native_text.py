@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -55,3 +55,13 @@ def gram_buckets(hashes: Column, buckets: int) -> Column:
 def lookup_sum(buckets: Column, table: Column) -> Column:
     """Sum of the table's entries at the buckets."""
     return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))
+
+
+def repeated(rows: DataFrame, copies: Column) -> DataFrame:
+    """The columns packed in ``row``, each as often as ``copies`` says.
+
+    A filter would be pushed down to the scan, with every expression it rests on computed again in each of its uses; what
+    an outer explode leaves out is only known above it.
+    """
+    out = rows.select(F.explode_outer(F.array_repeat("row", copies)).alias("row"))
+    return out.where(F.col("row").isNotNull()).select("row.*")

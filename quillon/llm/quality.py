@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.native_text import BLANKS, gram_buckets, hashed, let, literal_array, lookup_sum, text_of, word_array
+from quillon.llm.native_text import BLANKS, gram_buckets, hashed, let, literal_array, lookup_sum, repeated, text_of, word_array
 
 BUCKETS = 1 << 14
 SYMBOLS = "#*$%&|<>"
@@ -92,4 +92,4 @@ def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = -0.15,
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept."""
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return judge_quality(rows, labels, carry=("row",), **options).where("kept").select("row.*")
+    return repeated(judge_quality(rows, labels, carry=("row",), **options), F.col("kept").cast("int"))
