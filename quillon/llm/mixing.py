@@ -81,12 +81,14 @@ def rate_of(steps: list[list[float]]) -> Column:
 def fit_steps(table: DataFrame, totals: list[float], rounds: int, tolerance: float) -> list[list[float]]:
     """Steps after which the expected domain tokens of ``table`` (n_tokens, p) are as near ``totals`` as any round came.
 
-    A round aggregates the domain totals, and their Gram matrix over documents whose rate isn't 0, which whitens the step.
+    A round aggregates the domain totals, and their Gram matrix over documents whose rate isn't 0. A step whitened by
+    that matrix is tried first; where it doesn't bring the totals nearer, the step whitened by the matrix of all documents
+    is taken instead, which never leads away.
     """
     k = len(totals)
-    steps: list[list[float]] = []
-    best, best_gap, scale = 0, math.inf, max(sum(totals), 1.0)
     p = [F.col("p")[i] for i in range(k)]
+    best: list[list[float]] = []
+    steps, best_value, scale, full, gap_at_best, ridge = best, math.inf, max(sum(totals), 1.0), None, None, 0.0
     for _ in range(rounds + 1):
         state = table.withColumn("rate", rate_of(steps))
         free = F.when(F.col("rate") > 0, F.col("n_tokens")).otherwise(0)
@@ -94,17 +96,24 @@ def fit_steps(table: DataFrame, totals: list[float], rounds: int, tolerance: flo
         grams = [F.sum(p[i] * p[j] * free).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
         got = state.agg(*sums, *grams).first()
         gap = np.array(totals) - np.array([got[f"t{j}"] or 0.0 for j in range(k)])
-        size = float(np.abs(gap).max())
-        if size < best_gap:
-            best, best_gap = len(steps), size
-        if size <= tolerance * scale:
+        gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        ridge = ridge or 1e-6 * max(float(np.trace(gram)), 1.0)  # a domain with next to no mass can't be steered
+        inverse = np.linalg.inv(gram + ridge * np.eye(k))
+        full = inverse if full is None else full
+        value = float(gap @ full @ gap)
+        if value < best_value:
+            best, best_value, gap_at_best = steps, value, gap
+            if np.abs(gap).max() <= tolerance * scale:
+                break
+            steps = [*best, (inverse @ gap).tolist()]
+        elif steps[-1] != (again := (full @ gap_at_best).tolist()):
+            steps = [*best, again]
+        else:
             break
-        g = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        steps.append((np.linalg.pinv(g, rcond=1e-12) @ gap).tolist())
-    return steps[:best]
+    return best
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.70, 0.28, 0.02), budget: float = 1.0, train_docs: int = 20_000, evidence: float = 64.0, rounds: int = 15, tolerance: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...] = (0.70, 0.28, 0.02), budget: float = 1.0, train_docs: int = 20_000, evidence: float = 64.0, rounds: int = 24, tolerance: float = 1e-6, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_tokens, p_<domain>, rate.
 
     shares: target share of each of ``DOMAINS`` in the mixed tokens; budget: mixed tokens as a multiple of the corpus's.
