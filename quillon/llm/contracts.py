@@ -87,4 +87,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_jaccard_join, op3_quality_rules, op4_best_fit_packing, op5_repeated_substrings, op6_language_id, op7_url_filter, op8_token_ids, op9_nearest_neighbours, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _url_sql() -> str:
+    """The URL query in SQL: one row a rule, globs as GLOB."""
+    upper = "".join(map(chr, range(65, 91)))
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
+    parts = [b.partition("/") for b in URL_BLOCKED]
+    bad = " OR ".join(f"(host GLOB '{h}'" + (f" AND path GLOB '/{p}')" if s else ")") for h, s, p in parts)
+    return f"""WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{upper.lower()}'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+      r(verdict, rule, h, p) AS (VALUES {rules}),
+      m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(r.verdict, length(rule)) AS v FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+      SELECT u.page_id, host, path, m.rule, coalesce(m.v, CASE WHEN host = '' OR {bad} THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN m USING (page_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": _url_sql()}
