@@ -51,3 +51,70 @@ CODES: dict[str, list[str]] = {
 ARTICLE_CODES = {1: "lc64_1990", 5: "cf", 7: "cf", 14: "cdc", 93: "cf", 186: "cc", 276: "codigo_eleitoral", 290: "cpm", 312: "cpp", 373: "cpc", 477: "clt", 818: "clt", 896: "clt"}
 # Numbers of precedents whose text doesn't name them, by court.
 KNOWN_PRECEDENTS = {"STF": 10, "TST": 331}
+# Forms of a class that may stand for one another.
+SYNONYMS: dict[str, list[str]] = {
+    "agravo_regimental": ["AgRg", "Ag. Rg.", "AG.REG.", "Agravo Regimental"],
+    "agravo_interno": ["AgInt", "Ag. Int.", "Agravo Interno"],
+    "agravo_em_resp": ["AREsp", "A.REsp", "AgREsp", "Agravo em Recurso Especial"],
+    "agravo_em_re": ["ARE", "AgREx", "Agravo em Recurso Extraordinário"],
+    "resp": ["REsp", "R.Esp.", "Rec. Esp.", "Recurso Especial"],
+    "re": ["RE", "REX", "Recurso Extraordinário"],
+    "rhc": ["RHC", "RHAB", "Recurso em Habeas Corpus"],
+    "rcl": ["Rcl", "Recl.", "RCL", "Reclamação"],
+    "apl": ["APL", "Apelação"],
+    "hc": ["HC", "H.C.", "Habeas Corpus"],
+    "ar": ["AR", "AC.RES.", "Ação Rescisória"],
+    "ms": ["MS", "Mandado de Segurança"],
+}
+# Vague mentions of precedents and of laws.
+VAGUE_PRECEDENTS = [
+    "jurisprudência pacífica desta Corte",
+    "entendimento sumulado sobre a matéria",
+    "verbete sumular aplicável à espécie",
+    "orientação jurisprudencial da Corte Superior",
+    "precedentes desta Casa em situações análogas",
+    "reiterados precedentes do Superior Tribunal de Justiça",
+    "precedente firmado em sede de recurso repetitivo",
+    "jurisprudência consolidada dos tribunais superiores",
+    "recente acórdão da Segunda Turma",
+    "entendimento pacificado deste Tribunal",
+    "posição consolidada desta Corte",
+    "entendimento consolidado nas Cortes Superiores",
+    "linha decisória consolidada da Corte",
+    "orientação jurisprudencial deste Tribunal Superior",
+    "tese fixada em súmula aplicável ao caso",
+    "verbete sumular pertinente à lide",
+    "entendimento cristalizado em súmula aplicável",
+    "precedentes desta Corte em casos análogos",
+    "entendimento firmado em situações semelhantes",
+    "tese firmada em julgamento de recursos repetitivos",
+    "acórdão recente da Segunda Turma",
+]
+VAGUE_LAWS = [
+    "normas de regência da matéria",
+    "dispositivo constitucional invocado na origem",
+    "dispositivo legal de regência",
+    "legislação de regência da matéria",
+    "artigo correspondente do Código de Processo Civil",
+    "lei que disciplina a prescrição no caso",
+    "normas aplicáveis ao tema em análise",
+    "dispositivos legais pertinentes à questão",
+    "preceito constitucional invocado na origem",
+    "norma constitucional suscitada na petição inicial",
+    "dispositivo do Código de Processo Civil pertinente ao caso",
+    "ordenamento jurídico aplicável à questão",
+]
+# Words that give an English text away.
+ENGLISH_HINTS = ["the", "of", "in", "for", "law", "laws", "case", "legal", "regulation", "regulations", "framework", "guidelines", "and", "is", "are", "this", "that", "establishing", "procedure", "procedures", "provisions", "governing", "material", "measures", "specific", "related", "through", "formalized", "formalization", "instructions", "aspects", "issues"]
+# Classes no rule lists, name and short form.
+UNSEEN_CLASSES = [
+    ("Ação Direta de Inconstitucionalidade", "ADI"),
+    ("Arguição de Descumprimento de Preceito Fundamental", "ADPF"),
+    ("Ação Declaratória de Constitucionalidade", "ADC"),
+    ("Mandado de Injunção", "MI"),
+    ("Habeas Data", "HD"),
+    ("Conflito de Competência", "CC"),
+    ("Revisão Criminal", "RvCr"),
+    ("Recurso de Reexame Necessário", "RReN"),
+    ("Agravo de Execução", "AgExec"),
+]

@@ -201,7 +201,7 @@ query("confusion_by_level", f"WITH {_O} SELECT * FROM c")(lambda s, sf: evaluate
 _F1 = "CASE WHEN 2*tp+fp+fn > 0 THEN 2.0*tp/(2*tp+fp+fn) ELSE 0 END"
 query("f1_by_class", f"WITH {_O} SELECT level, label, round(({_F1})::DOUBLE, 9) AS f1 FROM c")(lambda s, sf: evaluate.confusion(order_outcomes(s, sf)).select("level", "label", F.round(evaluate.f1(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("f1")))
 _L = f"l AS (SELECT level, m.f AS macro_f1, coalesce(s.severe / m.fakes, 0)::DOUBLE AS tau, s.brier FROM (SELECT level, avg({_F1})::DOUBLE AS f, sum(support) FILTER (WHERE label = 'inventada') AS fakes FROM c WHERE support > 0 GROUP BY level) m JOIN (SELECT level, sum(severe) AS severe, avg(brier) AS brier FROM r GROUP BY level) s USING (level))"
-_SC = "macro_f1 * (1 - 0.5 * tau) * (1 + greatest(0, least(0.1, 0.1 * (1 - brier))))"
+_SC = "macro_f1 * (1 - 0.5 * tau) * (1 + CASE WHEN brier IS NULL THEN 0 ELSE greatest(0, least(0.1, 0.1 * (1 - brier))) END)"
 
 
 @query("macro_score", f"WITH {_O}, {_L} SELECT level, round(macro_f1, 9) AS macro_f1, round(tau, 9) AS tau, round(brier, 9) AS brier, round({_SC}, 9) AS score FROM l")
