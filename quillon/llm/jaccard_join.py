@@ -39,8 +39,10 @@ from quillon.llm.components import components
 from quillon.llm.kernels import _K, U, mix, shingles, signed, slices
 from quillon.llm.scratch import Scratch
 
-#: Counters of the frequency table: one byte each, so this many bytes are broadcast, whatever the corpus.
+#: Counters of the frequency table: a byte each while they are counted, two bits once classed; whatever the corpus.
 BITS = 26
+#: A shingle counted more often than RARE belongs to the frequent class, above FREQUENT to the very frequent one.
+RARE, FREQUENT = 2, 64
 CELLS = 1 << BITS
 SLICES = 32
 _DOCS = "doc_id long, set_id long, n long, folded binary, cells binary, slice int"
@@ -79,11 +81,17 @@ def missing(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
+def classed(counts: np.ndarray) -> np.ndarray:
+    """Frequency classes 0 to 2 of counts, four to a byte."""
+    c = ((counts > RARE).astype(np.uint8) + (counts > FREQUENT)).reshape(-1, 4)
+    return c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
+
+
 class Signatures:
-    """Signatures of a set; ``counters`` has a saturated count for each cell of hashes."""
+    """Signatures of a set; ``classes`` is a table from ``classed`` over all cells of hashes."""
 
-    def __init__(self, counters: np.ndarray, percent: int, rare: int = 2, frequent: int = 64) -> None:
-        self.counters, self.percent, self.rare, self.frequent = counters, percent, rare, frequent
+    def __init__(self, classes: np.ndarray, percent: int) -> None:
+        self.classes, self.percent = classes, percent
         self.picks = {}
 
     def pick(self, n: int, k: int) -> np.ndarray:
@@ -110,8 +118,8 @@ class Signatures:
         w = 3 * need + 12
         while True:
             p = u[:w]
-            seen = self.counters[(p >> U(64 - BITS)).astype(np.int64)]
-            k = np.where(seen <= self.rare, 1, np.where(seen <= self.frequent, 2, 4))
+            cell = (p >> U(64 - BITS)).astype(np.int64)
+            k = 1 << (self.classes[cell >> 2] >> ((cell & 3) << 1).astype(np.uint8) & 3).astype(np.int64)
             sub = np.full(len(p), -1, np.int64)
             spread = mix(p ^ U(0xA24BAED4963EE407)) >> U(33)
             for kk, c in parts.items():
@@ -182,7 +190,7 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def counters(rows: DataFrame) -> np.ndarray:
-    """The saturated frequency table: ``CELLS`` bytes reach the driver."""
+    """The table of frequency classes: ``CELLS / 4`` bytes reach the driver."""
 
     def add(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -193,11 +201,11 @@ def counters(rows: DataFrame) -> np.ndarray:
                 at = packed >> np.uint32(8)
                 total[at] = np.minimum(total[at].astype(np.uint16) + (packed & np.uint32(255)).astype(np.uint16), 255).astype(np.uint8)
         for s, total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([classed(total).tobytes()], pa.binary())], ["slice", "cells"])
 
     summed = rows.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(add, "slice int, cells binary")
-    out = np.zeros(CELLS, np.uint8)
-    step = CELLS // SLICES
+    out = np.zeros(CELLS // 4, np.uint8)
+    step = CELLS // SLICES // 4
     got = summed.toArrow()
     for s, cells in zip(got.column("slice").to_pylist(), got.column("cells"), strict=True):
         out[s * step : (s + 1) * step] = np.frombuffer(cells.as_buffer(), np.uint8)
@@ -315,7 +323,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, small:
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.table(first_pass(docs, size, percent), "sets")
-    table = docs.sparkSession.sparkContext.broadcast(counters(rows))  # CELLS bytes
+    table = docs.sparkSession.sparkContext.broadcast(counters(rows))  # CELLS / 4 bytes
     of_docs = rows.where("slice is null").select("doc_id", "set_id", "n", "folded")
     sets = of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("folded").alias("folded"))
 
