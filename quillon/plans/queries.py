@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import spans as S
 from quillon.functions import text as T
-from quillon.operators import cells, evaluate
+from quillon.operators import cells, evaluate, noise, official
+from quillon.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -271,6 +272,51 @@ def citation_cells(spark, sf):
     return rows.select(F.col("doc").alias("documento_id"), cells.encode(F.transform("citations", one)).alias("citacoes"))
 
 
+@query("number_styles", "SELECT o_orderkey, style, CASE style WHEN 0 THEN d WHEN 1 THEN format('{:t.}', o_orderkey * 1009) WHEN 2 THEN format('{:t }', o_orderkey * 1009) ELSE regexp_replace(format('{:t.}', o_orderkey * 1009), '[.]([^.]*)$', '. \\1') END AS styled FROM (SELECT o_orderkey, CAST(o_orderkey * 1009 AS VARCHAR) AS d FROM orders), (SELECT unnest(range(4)) AS style)")
+def number_styles(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("style"))
+    return o.withColumn("styled", noise.reformat_number((F.col("o_orderkey") * 1009).cast("string"), F.col("style")))
+
+
+@query("gold_cells", "SELECT CAST(l_orderkey AS VARCHAR) AS documento_id, 1 AS nivel, string_agg((l_linenumber * 10) || ',' || (l_linenumber * 10 + 5) || ',' || CASE WHEN l_returnflag = 'A' THEN 'real,' || l_partkey ELSE 'inventada,-' END, '|' ORDER BY l_linenumber, l_returnflag = 'A', CAST(l_partkey AS VARCHAR)) AS citacoes FROM lineitem GROUP BY l_orderkey")
+def gold_cells(spark, sf):
+    real = F.col("l_returnflag") == "A"
+    ids = F.when(real, F.array(F.col("l_partkey").cast("string"))).otherwise(F.array().cast("array<string>"))
+    g = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(1).alias("level"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 5).alias("stop"), F.when(real, "real").otherwise("inventada").alias("label"), ids.alias("ids"))
+    return official.gold_cells(g)
+
+
+@query("vague_spans", "SELECT l_orderkey, l_linenumber, l_linestatus = 'O' AND NOT l_partkey % 3 IN (1, 2) AS vague FROM lineitem")
+def vague_spans(spark, sf):
+    label = F.when(F.col("l_linestatus") == "O", "incompleta").otherwise("real")
+    match = F.concat("l_returnflag", F.translate((F.col("l_partkey") % 3).cast("string"), "0", "x"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", noise.is_vague(label, match).alias("vague"))
+
+
+@query("negative_windows")
+def negative_windows(spark, sf):
+    """Windows of every document that touch no run of digits; drawn by hash, so tests check their properties."""
+    gold = span_rows(spark, sf, DIGITS).select(F.col("doc_id").alias("doc"), "start", "stop")
+    return noise.negative_windows(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"), gold)
+
+
+@query("noisy_variants")
+def noisy_variants(spark, sf):
+    """Three noisy variants of every number span."""
+    return noise.variants(span_rows(spark, sf, DIGITS).withColumn("key", F.xxhash64("doc_id", "start")), 3)
+
+
+@query("nested_output_json", f"SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(m, '') AS matches FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(match, ',' ORDER BY start) AS m FROM {span_sql(DIGITS)} GROUP BY doc_id) x USING (doc_id)")
+def nested_output_json(spark, sf):
+    """Nested documents through their JSON form and back."""
+    from quillon.operators.resolve import assemble
+
+    found = span_rows(spark, sf, DIGITS).select(F.col("doc_id").cast("string").alias("doc"), "start", "stop", "match", F.lit("jurisprudencia").alias("type"), F.lit("real").alias("label"), F.lit(0.97).alias("conf"), F.col("match").alias("id"))
+    out = files.as_output(assemble(table(spark, sf, "documents"), found, "doc_id"))
+    back = out.select(F.from_json(F.to_json(F.struct("*")), files.PREDICTION).alias("j")).select("j.*")
+    return back.select(F.col("documento_id").cast("long").alias("doc_id"), F.size("citacoes").cast("long").alias("n"), F.array_join("citacoes.trecho", ",").alias("matches"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Number spans of every document, looked up among order keys, one encoded cell a document."""
     spans = span_rows(spark, sf, DIGITS).withColumn("digits", T.ocr_digits(F.col("match")))
