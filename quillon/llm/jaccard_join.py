@@ -8,7 +8,8 @@ Signatures. Shingles are ordered by hash. A set's prefix is extended until the c
 shingles it may miss: a rare shingle is indexed alone and is worth 1; a frequent one belongs to a class in which only
 combinations of k shingles are indexed (2, or 4 for very frequent ones), spread over enough subclasses for the number of
 combinations to stay near the length of the prefix, and is worth 1 from the k-th of its subclass on. Whichever shingles
-a partner lacks, a combination remains that both prefixes hold. Frequencies come from counters over all documents, in a
+a partner lacks, a combination remains that both prefixes hold. A set that may miss none may still be part of a larger
+one, and is worth 1; a set too small for the credit it needs has all its combinations and each shingle alone. Frequencies come from counters over all documents, in a
 table of fixed size: where shingles share a counter they are only thought more frequent.
 
 Candidates. Every signature is filed under its pivot, the set of it that hashes least, and each set once under each of
@@ -81,6 +82,11 @@ def missing(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
+def alone(n: int, percent: int) -> bool:
+    """Whether a set of n links with none but its equals: it may miss a member, or a larger one hold it, if this is false."""
+    return n * 100 // percent <= n
+
+
 def classed(counts: np.ndarray) -> np.ndarray:
     """Frequency classes 0 to 2 of counts, four to a byte."""
     c = ((counts > RARE).astype(np.uint8) + (counts > FREQUENT)).reshape(-1, 4)
@@ -106,10 +112,9 @@ class Signatures:
 
     def of(self, u: np.ndarray) -> np.ndarray:
         """All signatures of the sorted set ``u``; none where only an equal set can link."""
-        may = missing(len(u), self.percent)
-        if may == 0:
+        if alone(len(u), self.percent):
             return np.zeros(0, U)
-        out = [self.within(u, b, may + 1) for b in self.buckets(len(u))]
+        out = [self.within(u, b, missing(len(u), self.percent) + 1) for b in self.buckets(len(u))]
         return np.unique(np.concatenate(out))
 
     def within(self, u: np.ndarray, bucket: int, need: int) -> np.ndarray:
@@ -137,7 +142,8 @@ class Signatures:
                 break
             w *= 2
         p, k, sub = p[: cut + 1], k[: cut + 1], sub[: cut + 1]
-        out = [mix(p[k == 1] * _K[0] + U(1))]
+        singly = p if cut == len(credit) else p[k == 1]  # the whole set where its credit stays below need
+        out = [mix(singly * _K[0] + U(1))]
         order = np.argsort(sub, kind="stable")
         order = order[sub[order] >= 0]
         if len(order):
@@ -172,7 +178,8 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     ids.append(set_id(u))
                     ns.append(len(u))
                     folds.append(folded(u) if len(u) else b"")
-                    if may := missing(len(u), percent):
+                    if not alone(len(u), percent):
+                        may = missing(len(u), percent)
                         heads.append(u[: may + may // 4 + 6])
                 if heads:
                     at, more = np.unique(np.concatenate(heads) >> U(64 - BITS), return_counts=True)

@@ -78,6 +78,32 @@ def test_jaccard(spark, docs, size, percent, small):
     assert jaccard_join.jaccard_components(empty(spark), size, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent,n,extra", [(90, 9, 1), (80, 4, 1)])
+def test_jaccard_links_a_set_inside_a_larger_one(spark, percent, n, extra):
+    rows = []
+    for g in range(20):
+        w = [f"w{g}x{k}" for k in range(n + 2)]
+        rows += [(3 * g, " ".join(w)), (3 * g + 1, " ".join([*w, f"end{g}"] if g % 2 else [f"top{g}", *w])), (3 * g + 2, " ".join(w[:-1]))]
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    assert [len(sets[k]) for k in range(3)] == [n, n + extra, n - 1]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()}
+    assert got == {i: i - i % 3 if i % 3 < 2 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("percent,need_all", [(80, 5), (90, 10), (60, 12)])
+def test_signatures_of_small_sets_meet(percent, need_all):
+    rng = np.random.default_rng(6)
+    make = jaccard_join.Signatures(jaccard_join.classed(np.repeat(np.array([1, 10, 100, 1], np.uint8), jaccard_join.CELLS // 4)), percent)
+    for _ in range(2000):  # any mixture of frequency classes: the two highest bits of a hash are its class
+        kind = rng.choice(3, 40, p=rng.dirichlet((1, 1, 1))).astype(np.uint64) << np.uint64(62)
+        n = int(rng.integers(1, need_all + 1))
+        more = n * 100 // percent - n
+        hashes = kind | rng.integers(0, 2**62, 40, np.uint64)
+        u, v = np.sort(hashes[:n]), np.sort(hashes[: n + more])
+        if more and set(make.buckets(n)) & set(make.buckets(n + more)):
+            assert jaccard_join.linked(n, n, n + more, percent) and np.intersect1d(make.of(u), make.of(v)).size
+
+
 def test_keep_one(docs):
     kept = [r.doc_id for r in jaccard_join.keep_one(docs, 5, 80).collect()]
     assert len(kept) == len(set(kept)) and set(jaccard_join.keep_one(docs, 5, 80).columns) == set(docs.columns)
