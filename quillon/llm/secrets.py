@@ -2,9 +2,9 @@
 
 Base kinds are fixed patterns. Weak parts are shorter access identifiers, bare 40-character secrets and service
 endpoints. A secret is linked where an access identifier (base or weak) lies within ``scope`` code points of it, a weak
-identifier where a secret does, an endpoint where both do. The link is an interval join: parts are cut into cells of the
-scope's length, each cell holds the outermost parts of each role, and a part looks into its own and the two adjacent
-cells, so a text with many parts costs rows in proportion to them. DataFrame functions only; positions are code points.
+identifier where a secret does, an endpoint where both do. The link is an interval join over cells of the scope's length:
+each cell holds the outermost ends of the parts of each role that touch it, and a part looks into every cell that it, or
+the scope on either side of it, touches (parts that share a cell leave less than the scope between them), so a text with many parts costs rows in proportion to them. DataFrame functions only; positions are code points.
 
 Defined results: null or empty text: no spans, digest of the empty string; repeated rows get equal results; documents
 without weak parts take no part in the join; an empty table gives no rows; other columns are ignored.
@@ -78,9 +78,10 @@ def link(found: DataFrame, scope: int) -> DataFrame:
     """(doc_id, mark, linked): the weak parts of ``found`` (doc_id, mark, base, weak) that have their complements near."""
     role = F.when(F.col("p.kind").isin(1, 3), "access").when(F.col("p.kind").isin(0, 2, 4), "secret").otherwise("endpoint")
     parts = found.select("doc_id", "mark", F.explode(F.array_distinct(F.concat("base", "weak"))).alias("p")).distinct()
-    parts = parts.select("doc_id", "mark", "p", role.alias("role"), F.floor(F.col("p.start") / scope).alias("cell"))
+    touched = lambda reach: F.explode(F.sequence(F.floor((F.col("p.start") - reach) / scope), F.floor((F.col("p.stop") + reach) / scope))).alias("cell")
+    weak = parts.where("p.kind >= 3").select("doc_id", "mark", "p", touched(scope))
+    parts = parts.select("doc_id", "mark", "p", role.alias("role"), touched(0))
     edge = parts.groupBy("doc_id", "mark", "cell").agg(*(f(F.when(F.col("role") == r, F.col(f"p.{c}"))).alias(f"{r}_{n}") for r in ("access", "secret") for n, f, c in (("lo", F.min, "start"), ("hi", F.max, "stop"))))
-    weak = parts.where("p.kind >= 3").select("doc_id", "mark", "p", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     same = (F.col("w.cell") == F.col("e.cell")) & F.col("w.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("w.mark") == F.col("e.mark"))
     near = lambda r: F.coalesce((F.col(f"e.{r}_lo") <= F.col("w.p.stop") + scope) & (F.col(f"e.{r}_hi") >= F.col("w.p.start") - scope), F.lit(False))
     seen = weak.alias("w").join(edge.alias("e"), same).select("w.doc_id", "w.mark", "w.p", near("access").alias("a"), near("secret").alias("s"))

@@ -211,6 +211,17 @@ def test_secrets(spark):
     assert secrets.secret_report(docs.where("false")).count() == 0
 
 
+BARE = "Ab1" + "cD2e" * 9 + "f"
+
+
+def test_secrets_link_every_gap_of_the_scope(spark):
+    token = "token=" + "z9" * 400  # longer than the scope
+    rows = [(gap, shift, swap, " " * shift + (b if swap else a) + " " * gap + (a if swap else b)) for a, b in ((BARE, "AKIASHORT123"), (token, "AKIASHORT123")) for gap in (1, 150, 290, 293, 299, 300, 301) for shift in range(0, 300, 30) for swap in (0, 1)]
+    docs = spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: "linked_access" in r.spans for r in secrets.secret_report(docs).collect()}
+    assert got == {i: r[0] <= 300 for i, r in enumerate(rows)}
+
+
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder_equals_library(file):
     enc = tokens.PieceEncoder(contracts.vocabulary(file), memo=200)
