@@ -1,7 +1,7 @@
 """Secret scan: pattern spans in every text, and weak parts that become spans only beside complementary ones.
 
-Base kinds are fixed patterns. Weak parts are shorter access identifiers, bare 40-character secrets and service
-endpoints. A secret is linked where an access identifier (base or weak) lies within ``scope`` code points of it, a weak
+Base kinds are fixed patterns. Weak parts are other access identifiers (shorter, of other prefixes, or any value behind
+the label of a client, key, user or account), bare 40-character secrets and service endpoints. A secret is linked where an access identifier (base or weak) lies within ``scope`` code points of it, a weak
 identifier where a secret does, an endpoint where both do. The link is an interval join over cells of the scope's length:
 each cell holds the outermost ends of the parts of each role that touch it, and a part looks into every cell that it, or
 the scope on either side of it, touches (parts that share a cell leave less than the scope between them), so a text with many parts costs rows in proportion to them. DataFrame functions only; positions are code points.
@@ -21,7 +21,10 @@ from quillon.llm.scratch import Scratch
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ["assign", "access", "hex", "linked_access", "linked_secret", "linked_endpoint"]
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
-WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,15}(?![A-Z0-9])"
+#: Labelled values that are base identifiers or look like bare secrets are left to those kinds.
+LABELLED = r"""(?<![A-Za-z0-9])(?<!(?i:secret)[_-])(?i:client[_-]?id|(?:access[_-]?)?key[_-]?id|access[_-]?key|(?:user|account)(?:[_-]?(?:id|name))?)["']?\x20*[:=]\x20*["']?(?!AKIA[A-Z0-9]{16})(?![A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-]))[A-Za-z0-9_.@+-]{3,}"""
+LABEL_END = r"""(?:id|key|name|user|account)["']?\x20*[:=]"""  # of lower-case text: a cheap test for labels
+WEAK_ACCESS = LABELLED + r"|(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,15}|(?:ASIA|AIDA|AROA)[A-Z0-9]{8,})(?![A-Z0-9])"
 BARE_SECRET = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_.-])"
 ENDPOINT = r"https?://[^\s\"'<>]+"
 
@@ -64,7 +67,7 @@ def parts_of(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.col("text")
     low = F.lower(text)
     word = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("api_key")) | F.contains(low, F.lit("apikey"))
-    any_id = F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA")) | F.contains(text, F.lit("AIDA")) | F.contains(text, F.lit("AROA"))
+    any_id = F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA")) | F.contains(text, F.lit("AIDA")) | F.contains(text, F.lit("AROA")) | F.rlike(low, F.lit(LABEL_END))
     base = F.concat(
         guarded(text, word, ASSIGN, 0, 6, 1),
         guarded(text, F.contains(text, F.lit("AKIA")), "AKIA[A-Z0-9]+", 1, 20),

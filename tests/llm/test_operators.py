@@ -222,6 +222,18 @@ def test_secrets_link_every_gap_of_the_scope(spark):
     assert got == {i: r[0] <= 300 for i, r in enumerate(rows)}
 
 
+def test_secrets_access_identifiers(spark):
+    url = " https://s3.example.com/b"
+    ids = ["ASIAABCDEFGHIJKLMNOP", "AROAABCDEFGHIJKLMNOPQ", "client_id=app-77", 'userName: "maria"', "aws_access_key_id = ABCD1234", "account: 12345678"]
+    rows = [(i, f"{x} {BARE}{url}") for i, x in enumerate(ids)] + [(50, f"aws_secret_access_key = {BARE}{url}"), (51, f"user: {BARE}{url}"), (52, ids[0] + url)]
+    got = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(ids):
+        n = len(x)
+        assert re.sub("linked_|:.*", "", got[i]) == "access" and [p.split(":")[0] for p in got[i].split(",")] == ["linked_access", "linked_secret", "linked_endpoint"]
+        assert f"linked_secret:{n + 1}:{n + 41}" in got[i]
+    assert got[0].startswith("linked_access:0:20,") and got[50] == got[51] == got[52] == ""
+
+
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder_equals_library(file):
     enc = tokens.PieceEncoder(contracts.vocabulary(file), memo=200)
