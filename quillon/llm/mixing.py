@@ -121,13 +121,12 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...]
     if len(shares) != len(DOMAINS) or min(shares) < 0 or not math.isclose(sum(shares), 1.0):
         raise ValueError("shares must be nonnegative and sum to 1, one for each domain")
     scratch = Scratch(docs.sparkSession, "mixing")
-    scratch.settle()
     model = fit_domains(docs, labels, train_docs)
     table = scratch.table(posteriors(docs, model, evidence), "posteriors")
     tokens = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     steps = fit_steps(table, [s * budget * tokens for s in shares], rounds, tolerance)
     rated = posteriors(docs, model, evidence, carry) if carry else table  # carried columns are never written
-    return rated.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), rate_of(steps).alias("rate"), *carry)
+    return rated.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate_of(steps)).alias("rate"), *carry)
 
 
 def resample(docs: DataFrame, labels: DataFrame, shares: tuple[float, ...], budget: float, **options) -> DataFrame:
