@@ -6,15 +6,14 @@ that counts buckets by language over every training row. A text's margin for a b
 the codeword with the least loss, bits weighted by how well they separate the training languages, and flags a text
 whose two best codewords lie close together.
 
-Defined results: null text or one without a letter: ``und`` with score 0, not ambiguous; rows with null language are
-never learned from; with no training rows every text is ``und``; repeated rows are judged alike; other columns are
-ignored.
+Defined results: null text or one without a letter: ``und`` with score 0, not ambiguous; a text of one byte has no gram
+and margin 0; rows with null language are never learned from; with no training rows every text is ``und``; a prediction
+rests on its own text alone, so repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from quillon.llm.kernels import LOWER, slices
 
 U32 = np.uint32
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -47,15 +45,24 @@ def codewords(n: int, extra: int = 7, seed: int = 11) -> np.ndarray:
     return best
 
 
-def grams(data: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of the 2-, 3- and 4-byte gram that starts at each byte: three columns one after the other."""
+def grams(data: np.ndarray, off: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the 2-, 3- and 4-byte gram that starts at each byte, ``buckets`` where it would leave its text: three rows."""
     low = np.concatenate((LOWER[data], np.zeros(3, np.uint8))).astype(U32)
     n = len(data)
     two = low[:n] | (low[1 : n + 1] << U32(8))
     three = two | (low[2 : n + 2] << U32(16))
     four = three | (low[3 : n + 3] << U32(24))
     shift = U32(32 - (buckets.bit_length() - 1))
-    return np.stack([(x * U32(m)) >> shift for x, m in ((two, 2654435769), (three, 2246822519), (four, 3266489917))])
+    out = np.stack([(x * U32(m)) >> shift for x, m in ((two, 2654435769), (three, 2246822519), (four, 3266489917))])
+    for back in (1, 2, 3):  # the last bytes of each text start no longer gram
+        at = off[1:] - back
+        out[back - 1 :, at[at >= off[:-1]]] = buckets
+    return out
+
+
+def gram_count(size: np.ndarray) -> np.ndarray:
+    """How many grams texts of so many bytes have."""
+    return sum(np.maximum(size - back, 0) for back in (1, 2, 3))
 
 
 def held_out(key: Column) -> Column:
@@ -68,7 +75,8 @@ class Decoder:
 
     def __init__(self, labels: list[str], counts: np.ndarray, smooth: float = 0.5) -> None:
         self.labels, self.code = labels, codewords(len(labels)) if labels else np.zeros((0, 0), int)
-        self.weights = np.zeros((counts.shape[1] if len(labels) else 1, self.code.shape[1]), np.float32)
+        # a row a bucket, and one of zeros for grams that a text doesn't have
+        self.weights = np.zeros((counts.shape[1] + 1 if len(labels) else 2, self.code.shape[1]), np.float32)
         share = (counts + smooth) / (counts + smooth).sum(axis=1, keepdims=True) if len(labels) else counts
         self.bias = np.zeros(self.code.shape[1])
         self.trust = np.ones(self.code.shape[1])
@@ -79,7 +87,7 @@ class Decoder:
             if on.any() and (~on).any():
                 lo, hi = means[~on].max(), means[on].min()
                 self.bias[j], self.trust[j] = (lo + hi) / 2, max(hi - lo, 1e-3)
-            self.weights[:, j] = w
+            self.weights[:-1, j] = w
 
     def decode(self, margin: np.ndarray, sharp: float, ambiguous: float) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Labels, scores and flags of rows of mean margins."""
@@ -104,11 +112,11 @@ def fit(train: DataFrame, buckets: int = 1 << 15, max_languages: int = 512) -> D
             for i, _, data, off in slices(batch.column(0)):
                 if not len(data):
                     continue
-                g = grams(data, buckets)
+                g = grams(data, off, buckets)
                 for k in range(len(off) - 1):
                     if off[k + 1] > off[k]:
                         sums = total.setdefault(names[i + k], np.zeros(buckets, np.int64))
-                        sums += np.bincount(g[:, off[k] : off[k + 1]].ravel(), minlength=buckets)
+                        sums += np.bincount(g[:, off[k] : off[k + 1]].ravel(), minlength=buckets + 1)[:buckets]
         for name, sums in total.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(sums[at])], ["lang", "bucket", "n"])
@@ -132,7 +140,7 @@ def identify(docs: DataFrame, model: Decoder, key: str = "doc_id", sharp: float
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        buckets, bits = m.weights.shape
+        buckets, bits = m.weights.shape[0] - 1, m.weights.shape[1]
         for batch in batches:
             keys = batch.column(0)
             for i, j, data, off in slices(batch.column(1)):
@@ -142,18 +150,18 @@ def identify(docs: DataFrame, model: Decoder, key: str = "doc_id", sharp: float
                 np.cumsum(_ASCII_LETTER[data], out=letters[1:])
                 some = letters[off[1:]] > letters[off[:-1]]
                 for k in np.flatnonzero(~some & (size > 0)):
-                    some[k] = bool(_LETTER.search(data[off[k] : off[k + 1]].tobytes().decode(errors="replace")))
+                    some[k] = any(map(str.isalpha, data[off[k] : off[k + 1]].tobytes().decode(errors="replace")))
                 names, score, flag = ["und"] * n, np.zeros(n), np.zeros(n, bool)
                 at = np.flatnonzero(some) if m.labels else np.zeros(0, np.int64)
                 if len(at):
-                    g = grams(data, buckets)
+                    g = grams(data, off, buckets)
                     margin = np.zeros((n, bits))
                     heads = off[:-1][size > 0]
                     for b in range(bits):
                         w = np.ascontiguousarray(m.weights[:, b])
                         per = w[g[0]] + w[g[1]] + w[g[2]]
                         margin[size > 0, b] = np.add.reduceat(per.astype(np.float64), heads)
-                    got, p, close = m.decode(margin[at] / (3.0 * size[at][:, None]), sharp, ambiguous)
+                    got, p, close = m.decode(margin[at] / np.maximum(gram_count(size[at]), 1)[:, None], sharp, ambiguous)
                     for k, name in zip(at, got, strict=True):
                         names[k] = name
                     score[at], flag[at] = p, close
