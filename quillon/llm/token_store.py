@@ -10,7 +10,7 @@ An Elias-Fano sequence of n values below u keeps floor(log2(u / n)) low bits of
 position of every 64th one bit for ``select``: about 2 + log2(u / n) bits a value instead of 64.
 
 Defined results: null text is an empty text (its one id is the end id); null doc_ids come first; equal doc_ids stay
-separate documents, ordered by text; an empty table gives an empty store; other columns are ignored.
+separate documents, ordered by a hash of their text; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -156,7 +156,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()  # the hash parts rows of one doc_id
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(encode, _BLOBS).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 

@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, with a bounded memo of the pieces between white space.
 
 Both vocabularies split a text at white space before any merge, so a text's ids are those of its pieces in order. A
-piece seen before is looked up, a new one is encoded by the library, many at a time. A text holding one of the few
-control characters on which white space rules differ is encoded whole.
+piece seen before is looked up, a new one is encoded by the library, many at a time. A text that holds one of the few
+control characters on which white space rules differ, or a string of the vocabulary's added tokens (which the library
+turns into their ids), is encoded whole.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import numpy as np
 
 #: With leading spaces kept: a run of white space but its last character, a word with at most one space, one other.
 _KEEP = re.compile(r"\s+(?!\S)| ?\S+|\s")
-_ODD = re.compile(r"[\x1c-\x1f\x85]")
+_ODD = r"[\x1c-\x1f\x85]"
 
 
 class PieceEncoder:
-    """``encode(texts)`` gives one ``uint32`` array per text, equal to the library's ids without special tokens.
+    """``encode(texts)`` gives one ``uint32`` array per text, equal to the library's with ``add_special_tokens=False``.
 
     drops_space: the vocabulary ignores white space. memo: pieces held in each of two generations, so that frequent
     pieces outlive a change of generation and memory stays bounded.
@@ -32,7 +33,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD, *added]), re.IGNORECASE)
         self.drops_space = not self.whole([" \n "])[0]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -50,7 +52,7 @@ class PieceEncoder:
         plain, rest = [], []
         for k, p in enumerate(pieces):
             core = p[1:] if p[0] == " " else p
-            (plain if self.break_ not in p and core.split() == [core] else rest).append(k)
+            (plain if self.break_ not in p and core.split() == [core] and not self.odd.search(p) else rest).append(k)
         glue = f" {self.break_} " if self.drops_space else self.break_
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
@@ -101,7 +103,7 @@ class PieceEncoder:
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
-        if _ODD.search(text):
+        if self.odd.search(text):
             return [text]
         return text.split() if self.drops_space else _KEEP.findall(text)
 
