@@ -36,14 +36,16 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
     """Fillings (lengths, how many bins) that use up ``counts[length]`` pieces of each length up to ``capacity``.
 
-    Two short pieces spent on one bin may be missed by later ones, so the packing is made with every replacement, with
-    those alone that fill a bin, and with none, and the one with the fewest bins is taken (the histogram is small).
+    Two short pieces spent on a small gap may be missed by later bins, which then stand half empty. How much of a gap a
+    replacement must close to be worth its pieces depends on the lengths at hand, so packings are made for 1, 2, 4, ...
+    up to a sixteenth of a bin, and the one with the fewest bins is taken, the most replacements among equals.
     """
-    return min((fillings(counts, capacity, most) for most in (capacity, 0, -1)), key=lambda bins: sum(m for _, m in bins))
+    least = [1 << k for k in range(max(1, (capacity // 16).bit_length()))]
+    return min((fillings(counts, capacity, x) for x in least), key=lambda bins: sum(m for _, m in bins))
 
 
-def fillings(counts: np.ndarray, capacity: int, most_gap: int) -> list[tuple[list[int], int]]:
-    """One packing; a replacement is made where it leaves a gap of ``most_gap`` at most."""
+def fillings(counts: np.ndarray, capacity: int, least: int) -> list[tuple[list[int], int]]:
+    """One packing; a replacement is made where it closes ``least`` tokens of the gap or more."""
     left = np.asarray(counts, np.int64).copy()
     sizes = np.arange(capacity + 1)
     out: list[tuple[list[int], int]] = []
@@ -75,7 +77,7 @@ def fillings(counts: np.ndarray, capacity: int, most_gap: int) -> list[tuple[lis
                 second[same] = fits[np.minimum(wide - first[same], first[same] - 1)]
             total = np.where(second > 0, first + second, 0)
             k = int(total.argmax())
-            if total[k] <= small or wide - total[k] > most_gap:
+            if total[k] - small < least:
                 break
             bin_[-1:] = [int(first[k]), int(second[k])]
             spare[small] += 1
