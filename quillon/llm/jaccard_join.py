@@ -19,9 +19,13 @@ only where folded bucket counts don't already bound the shared shingles of a pai
 group is cut into blocks of bounded size, and each pair of blocks is verified by one matrix product of its sets. What
 leaves a block is a spanning star of each linked part, never its pairs.
 
+A document is known by its doc_id and a hash of its text, so rows without doc_id and different texts under one doc_id link
+like any others; a text fetched for verification is hashed to its set again before it counts.
+
 Defined results: null text, or none but white space: empty set, linked with nothing; fewer words than ``size``: the
 whole sequence is one shingle; repeated rows are separate documents with one set; null doc_ids are kept, their component
-is null unless a linked document has an id; an empty table gives no rows; other columns are ignored.
+is null unless a linked document has an id; different texts under one doc_id are separate documents, each with the
+component of its own text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +50,8 @@ BITS = 26
 RARE, FREQUENT = 2, 64
 CELLS = 1 << BITS
 SLICES = 32
-_DOCS = "doc_id long, set_id long, n long, folded binary, cells binary, slice int"
+_DOCS = "doc_id long, mark long, set_id long, n long, folded binary, cells binary, slice int"
+_COLUMNS = [f.split()[0] for f in _DOCS.split(", ")]
 BUCKET = 1.25
 
 
@@ -162,17 +167,19 @@ class Signatures:
 
 
 def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, mark (a hash of the text) and text; a null text is an empty one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Document rows (doc_id, set_id, n, folded), and each task's counters of prefix shingles in slices (cells, slice)."""
+    """Document rows (doc_id, mark, set_id, n, folded), and each task's counters of prefix shingles in slices (cells, slice)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.uint8)
         for batch in batches:
-            keys = batch.column(0)
-            for i, j, data, off in slices(batch.column(1)):
+            keys, marks = batch.column(0), batch.column(1)
+            for i, j, data, off in slices(batch.column(2)):
                 ids, ns, folds, heads = [], [], [], []
                 for u in shingles(data, off, size):
                     ids.append(set_id(u))
@@ -184,14 +191,14 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 if heads:
                     at, more = np.unique(np.concatenate(heads) >> U(64 - BITS), return_counts=True)
                     counts[at.astype(np.int64)] = np.minimum(counts[at.astype(np.int64)] + more, 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(folds, pa.binary()), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.int32())], ["doc_id", "set_id", "n", "folded", "cells", "slice"])
+                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), marks.slice(i, j - i), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(folds, pa.binary()), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.int32())], _COLUMNS)
         step = CELLS // SLICES
         for s in range(SLICES):
             part = counts[s * step : (s + 1) * step]
             at = np.flatnonzero(part)
             if len(at):
                 packed = (at.astype(np.uint32) << np.uint32(8)) | part[at].astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([s], pa.int32())], ["doc_id", "set_id", "n", "folded", "cells", "slice"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([s], pa.int32())], _COLUMNS)
 
     return _columns(docs).mapInArrow(read, _DOCS)
 
@@ -285,14 +292,19 @@ def linked_parts(left: list[np.ndarray], right: list[np.ndarray], percent: int)
 def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join what is linked within each group. members: set_id, group (pivot, i, j), left, right: which side of it."""
     seats = members.groupBy("set_id").agg(F.collect_list(F.struct("pivot", "i", "j", "left", "right")).alias("seats"))  # as many as a set has signatures at most
-    wanted = sets.select("set_id", "doc_id").join(seats, "set_id")
-    rows = _columns(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("set_id", "text", "seats")
+    wanted = sets.select("set_id", F.col("holder.doc_id").alias("its_id"), F.col("holder.mark").alias("its_mark")).join(seats, "set_id")
+    found = _columns(docs)
+    rows = found.join(wanted.hint("shuffle_hash"), found["doc_id"].eqNullSafe(F.col("its_id")) & (found["mark"] == F.col("its_mark"))).select("set_id", "text", "seats")
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated rows of a holder come to one task
         for batch in batches:
             ids, seats_ = batch.column(0).to_pylist(), batch.column(2)
             for i, _, data, off in slices(batch.column(1)):
                 for k, u in enumerate(shingles(data, off, size)):
+                    if ids[i + k] in seen or set_id(u) != ids[i + k]:
+                        continue
+                    seen.add(ids[i + k])
                     places, body = seats_[i + k].as_py(), u.tobytes()
                     for c in range(0, len(places), 64):
                         part = places[c : c + 64]
@@ -323,24 +335,18 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
     return seated.groupBy("pivot", "i", "j").applyInArrow(check, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, small: int = 24, block_sets: int = 1024, block_shingles: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
-
-    small: largest pivot group whose pairs are listed; block_sets, block_shingles: size of a block of a larger one.
-    """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+def linked_documents(docs: DataFrame, size: int, percent: int, small: int, block_sets: int, block_shingles: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, mark, n, component): the component names a set of linked documents, null for documents without words."""
     rows = scratch.table(first_pass(docs, size, percent), "sets")
     table = docs.sparkSession.sparkContext.broadcast(counters(rows))  # CELLS / 4 bytes
-    of_docs = rows.where("slice is null").select("doc_id", "set_id", "n", "folded")
-    sets = of_docs.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("folded").alias("folded"))
+    of_docs = rows.where("slice is null").select("doc_id", "mark", "set_id", "n", "folded")
+    sets = of_docs.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("holder"), F.first("n").alias("n"), F.first("folded").alias("folded"))
 
     over = "over (partition by sig)"
     found = signature_rows(docs, table, size, percent)
     shared = found.selectExpr("set_id", "n", f"min(struct(xxhash64(set_id) as h, set_id)) {over} as pivot", f"min(set_id) {over} as lo", f"max(set_id) {over} as hi").where("lo <> hi")
     seats = scratch.table(shared.select(F.col("pivot.set_id").alias("pivot"), "set_id", "n").distinct(), "seats")
     table.destroy()  # what it was for is written
-    del shared, found
-    scratch.settle()
 
     groups = seats.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("m") / block_sets, F.col("shingles") / block_shingles)).cast("int")
@@ -357,29 +363,40 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, small:
     spread = many.select("set_id", "pivot", "mine", other).select("set_id", "pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
     large_members = spread.select("set_id", "pivot", "i", "j", (F.col("mine") == F.col("i")).alias("left"), (F.col("mine") == F.col("j")).alias("right"))
     members = scratch.table(small_members.union(large_members), "members")
-    scratch.settle()
     links = scratch.table(verified(members, sets, docs, size, percent), "links")
     scratch.drop(seats, members, likely)
-    scratch.settle()
     comp = scratch.table(components(links, scratch), "components")
+    named = of_docs.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return named.select("doc_id", "mark", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("component"))
 
-    least = of_docs.where("n > 0").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    names = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    full = least.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = of_docs.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.union(empty)
 
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90, small: int = 24, block_sets: int = 1024, block_shingles: int = 500_000, salts: int = 8) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links.
+
+    small: largest pivot group whose pairs are listed; block_sets, block_shingles: size of a block of a larger one;
+    salts: tasks among which a component's documents are spread for its name.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = linked_documents(docs, size, percent, small, block_sets, block_shingles, scratch)
+    names = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    names = names.select("component", "least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int"))
+    return salted.join(names, ["component", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
-def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """Rows of ``docs``, one of each group of linked documents: that with the smallest doc_id.
 
-    Repeated rows with one doc_id stay once; rows without doc_id that are linked with none that has one all stay.
+def keep_one(docs: DataFrame, size: int = 3, percent: int = 90, small: int = 24, block_sets: int = 1024, block_shingles: int = 500_000) -> DataFrame:
+    """Rows of ``docs``, one of each group of linked documents: that with the smallest doc_id (rows without one come
+    last), of several texts under it that with the least hash. Rows without words are linked with nothing and all stay.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.table(jaccard_components(docs, size, percent), "components")
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    ids = ids.select(F.col("doc_id").alias("its_id"), "copies")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id"))
-    rows = docs.join(ids.hint("shuffle_hash"), same)
-    single = rows.where("copies = 1 or its_id is null").select(*docs.columns)
-    return single.unionByName(rows.where("copies > 1 and its_id is not null").select(*docs.columns).dropDuplicates(["doc_id"]))
+    found = scratch.table(linked_documents(docs, size, percent, small, block_sets, block_shingles, scratch), "components")
+    counted = found.where("component is not null").groupBy("component", "doc_id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    first = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "copies")).alias("k"))
+    copies = first.select(F.col("k.doc_id").alias("its_id"), F.col("k.mark").alias("its_mark"), F.col("k.copies").alias("copies"))
+    empty = found.where("component is null").groupBy("doc_id", "mark").agg(F.lit(1).cast("long").alias("copies")).toDF("its_id", "its_mark", "copies")
+    keep = copies.unionByName(empty)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(text) == F.col("its_mark"))
+    rows = docs.join(keep.hint("shuffle_hash"), same)
+    repeated = rows.where("copies > 1").select("its_id", "its_mark", F.struct(*docs.columns).alias("row")).dropDuplicates(["its_id", "its_mark"])
+    return rows.where("copies = 1").select(*docs.columns).unionByName(repeated.select("row.*"))

@@ -130,7 +130,6 @@ def repeated_ranges(docs: DataFrame, size: int, gram: int, scratch: Scratch) ->
     triggers = scratch.table(triggers.select("trigger", (F.col("p") != F.col("q")).alias("several")), "triggers")
     live = scratch.table(rows.join(triggers, "trigger"), "live")
     scratch.drop(rows, triggers)
-    scratch.settle()
     entries = live.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "lo", "span")).alias("at"), F.first("several").alias("several"))
     entries = scratch.table(entries, "dictionary")
     whole = live.join(entries.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"])
@@ -141,12 +140,10 @@ def repeated_ranges(docs: DataFrame, size: int, gram: int, scratch: Scratch) ->
     lists = open_.groupBy("uid").agg(F.collect_list("one").alias("found"))  # phrases of one text
     wanted = docs.join(lists.hint("shuffle_hash"), "uid").select("uid", "text", "found")
     prefixes = scratch.table(suffix_prefixes(wanted, size), "prefixes")
-    scratch.settle()
     twice = prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix")
     part = prefixes.where("asks").join(twice, "prefix").select("uid", F.col("start").alias("lo"), (F.col("start") + size).alias("hi"))
     ranges = scratch.table(whole.union(part), "ranges")
     scratch.drop(live, entries, prefixes)
-    scratch.settle()
     return ranges
 
 

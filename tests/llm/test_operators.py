@@ -236,9 +236,13 @@ def test_secrets_access_identifiers(spark):
 
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_piece_encoder_equals_library(file):
+    from tokenizers import Tokenizer
+
     enc = tokens.PieceEncoder(contracts.vocabulary(file), memo=200)
-    hard = [*TEXTS, "a  b", " a b ", "a\n b", "x \n", "a.\n\nB", "q, ,", "don't, stop.", "\x1c a", "a|b | c", "<|endoftext|> x", "\n", "ab c d", "é a", "1. 2,"]
-    want = [x.ids for x in enc.tokenizer.encode_batch([t or "" for t in hard], add_special_tokens=False)]
+    plain = Tokenizer.from_file(contracts.vocabulary(file))  # as the library reads it
+    hard = [*TEXTS, "x<|startoftext|> <|endoftext|>", "<|ENDOFTEXT|> y", " <|endoftext|>\n<|endoftext|>z", "<|endoftext|>", "a  b", " a b ", "a\n b", "x \n", "a.\n\nB", "q, ,", "don't, stop.", "\x1c a", "a|b | c", "<|endoftext|> x", "\n", "ab c d", "é a", "1. 2,"]
+    want = [x.ids for x in plain.encode_batch([t or "" for t in hard], add_special_tokens=False)]
+    assert plain.token_to_id("<|endoftext|>") in plain.encode("<|endoftext|> x", add_special_tokens=False).ids
     for i in range(0, len(hard), 7):  # small calls, so that generations of the memo change
         assert [x.tolist() for x in enc.encode(hard[i : i + 7])] == want[i : i + 7]
 
@@ -298,7 +302,7 @@ def test_best_two_fit_beats_greedy():
             else:
                 open_.append(100 - s)
         assert sum(m for _, m in bins) <= len(open_) + 1
-    assert packing.fillings(np.bincount([6, 1, 5, 4], minlength=11), 10, 10)[0] == ([6, 4], 1)
+    assert packing.fillings(np.bincount([6, 1, 5, 4], minlength=11), 10, 1)[0] == ([6, 4], 1)
 
 
 def test_urls(spark):
@@ -358,3 +362,47 @@ def test_language(spark):
     held = [(got[i].lang_pred, g) for i, _, g in rows[:300] if got[i].held_out]
     assert sum(a == b for a, b in held) / len(held) > 0.98
     assert language_id.language_id(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_jaccard_rows_without_or_with_shared_doc_ids(spark):
+    w, z = [f"w{i}" for i in range(101)], [f"z{i}" for i in range(100)]
+    rows = [(None, " ".join(w)), (5, " ".join([*w[:-1], "x"])), (1, "other " + " ".join(f"q{i}" for i in range(60))), (1, " ".join(z)), (2, " ".join([*z[:-1], "y"])), (7, None), (7, None), (8, "")]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string")
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(d, 3, 90).collect()}
+        assert got == {(None, 99, 5), (5, 99, 5), (1, 59, 1), (1, 98, 1), (2, 98, 1), (7, 0, 7), (8, 0, 8)}
+        kept = sorted((r.doc_id, r.text or "") for r in jaccard_join.keep_one(d, 3, 90).collect())
+        assert kept == sorted([(5, rows[1][1]), (1, rows[2][1]), (1, rows[3][1]), (7, ""), (7, ""), (8, "")])
+
+
+def test_language_rests_on_the_text_alone(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["ka", "to", "mi"] if i % 2 else ["bren", "dolt"], 30)), "xx" if i % 2 else "yy") for i in range(200)]
+    rows += [(1000 + 3 * i, "ka", None) for i in range(20)] + [(1001 + 3 * i, "zzzz" * i, None) for i in range(20)]
+    rows += [(2000, "½ ²", "xx"), (2001, "é", None), (2002, "k", None), (2003, "b" * 3_000_000, None)]
+    for parts in (1, 7):
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).withColumn("held_out", F.lit(3)).repartition(parts)
+        got = {r.doc_id: r for r in language_id.language_id(d).collect()}
+        assert len({(got[1000 + 3 * i].lang_pred, got[1000 + 3 * i].score) for i in range(20)}) == 1
+        assert got[2000].lang_pred == "und" and got[2000].score == 0 and got[2001].lang_pred != "und" and len(got) == len(rows)
+        assert all(got[i].lang_pred == g for i, _, g in rows[:200])
+
+
+def test_gram_buckets_stay_in_their_text():
+    data = np.frombuffer("abcdeé".encode(), np.uint8)
+    whole = language_id.grams(data, np.array([0, len(data)]), 64)
+    for cut in range(len(data) + 1):
+        both = language_id.grams(data, np.array([0, cut, len(data)]), 64)
+        for size in range(2, 5):
+            inside = [k for k in range(len(data)) if k + size <= len(data) and not k < cut < k + size]
+            assert [k for k in range(len(data)) if both[size - 2, k] < 64] == inside
+            assert (both[size - 2, inside] == whole[size - 2, inside]).all()
+        assert (both < 64).sum() == language_id.gram_count(np.array([cut, len(data) - cut])).sum()
+
+
+def test_mixing_text_without_words_keeps_rate_1(spark, labels):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(900, None), (901, " \n"), (902, TEXTS[20]), (902, TEXTS[20])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rate", F.lit("r")).withColumn("row", F.lit(1))
+    got = mixing.mix_to_targets(d, labels, shares=(0.5, 0.2, 0.3)).collect()
+    assert {r.rate for r in got if r.n_tokens == 0} == {1.0} and any(r.rate != 1 for r in got)
+    assert len({(r.rate, r.p_good) for r in got if r.doc_id in (902, 20)}) == 1
