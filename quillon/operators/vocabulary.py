@@ -31,10 +31,27 @@ CLASS_FAMILIES: dict[str, list[str]] = {
     "investigação eleitoral": ["Ação de Investigação Judicial Eleitoral", "AIJE"],
     "conflito de jurisdição": ["Conflito de Jurisdição"],
 }
+CLASS_FORMS = sorted({form for forms in CLASS_FAMILIES.values() for form in forms}, key=len, reverse=True)
+# Words that join classes.
+CONNECTORS = ["o", "a", "os", "as", "no", "na", "nos", "nas"]
+# Signs of an ordinal; of these the letters that count as signs, not as letters.
+ORDINAL_SIGNS, ORDINALS = ["º", "o", "°", "."], "ºª"
+# Signs that may stand between the digits of a number, besides white space, and how many in a row.
+NUMBER_SIGNS, MOST_SIGNS = ".-/°ºo", 3
+# Letters that OCR puts for digits, those that may also go on a number, and their digits.
+OCR_LETTERS, OCR_MORE, OCR_DIGITS = "OoIlSs", "OoIlSsgG", str.maketrans("OoIlSsg", "0011559")
+# Words before a document's own number, and before numbers that are no citation.
+OWN_NUMBER = ["processo", "autos", "protocolo"]
+OTHER_NUMBER = ["cnpj", "cpf", "rg", "cep", "matricula", "telefone", "fax", "oab"]
+# Signs before the two letters of a state.
+STATE_SIGNS = "/-–—("
 # Words that may follow a class.
 QUALIFIERS = ["Eleitoral", "Criminal", "Cível", "Trabalhista", "Militar", "Previdenciário", "Tributário", "Ordinária"]
 # Courts.
 COURTS = ["STF", "STJ", "TST", "TSE", "STM"]
+# What a decision is called, and how one was handed down in a year, with misreadings of c for e.
+DECISIONS = ["julgado", "precedente", "acordao"]
+DECIDED_IN = ["proferido", "proferida", "profcrido", "profcrida", "julgado", "julgada"]
 # Names of codes.
 CODES: dict[str, list[str]] = {
     "cpc": ["cpc", "codigo de processo civil", "lei 13.105/2015"],
