@@ -73,7 +73,8 @@ def main(argv: list[str] | None = None) -> int:
             if a.command == "diagnose":
                 official.diagnose(gold, pred).orderBy("level").show(truncate=False)
                 official.confusions(gold, pred).show(truncate=False)
-                evaluate.double_penalty(evaluate.outcomes(gold, pred)).show()
+                evaluate.alternate_scores(gold, pred).show()
+                official.examples(gold, pred).show(70, truncate=False)
             else:
                 stress_report(gold, pred).show()
     except (files.NoInput, official.SubmissionError, official.SolutionError) as e:

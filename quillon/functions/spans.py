@@ -14,23 +14,45 @@ def let(value: Column, use) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of a pattern without empty ones, as (start, stop, match)."""
+    """Leftmost non-overlapping matches of a pattern without empty ones, as (start, stop, match).
+
+    An array grows by copying, so places are summed in two levels: over runs of about sqrt(n) matches, and within each run.
+    """
     parts = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
-
-    def fold(p: Column) -> Column:
-        def step(s: Column, k: Column) -> Column:
-            hit = F.get(p["hit"], k)
-            start = s["at"] + F.length(F.get(p["gap"], k))
-            stop = start + F.length(hit)
-            one = F.array(F.struct(start.alias("start"), stop.alias("stop"), hit.alias("match")))
+    size = lambda p: F.size(p["hit"])
+
+    def steps(p: Column) -> Column:
+        """The matches, each with its distance from the match before."""
+        return F.transform(p["hit"], lambda hit, k: F.struct(F.length(F.get(p["gap"], k)).alias("gap"), F.length(hit).alias("long"), hit.alias("match")))
+
+    def runs(p: Column) -> Column:
+        run = F.ceil(F.sqrt(size(p))).cast("int")
+        return F.transform(F.sequence(F.lit(1), size(p), run), lambda first: F.slice(p["steps"], first, run))
+
+    def heads(p: Column) -> Column:
+        """Where each run begins."""
+        length = F.transform(p["runs"], lambda run: F.aggregate(run, F.lit(0), lambda at, x: at + x["gap"] + x["long"]))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("heads"))
+        add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["heads"], F.array(s["at"])).alias("heads"))
+        return F.aggregate(length, zero, add, lambda s: s["heads"])
+
+    def within(run: Column, head: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            start = s["at"] + x["gap"]
+            stop = start + x["long"]
+            one = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["match"].alias("match")))
             return F.struct(stop.alias("at"), F.concat(s["found"], one).alias("found"))
 
-        n = F.size(p["hit"])
-        ranks = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(ranks, zero, step, lambda s: s["found"])
+        return F.aggregate(run, F.struct(head.alias("at"), F.array().cast(_SPANS).alias("found")), step, lambda s: s["found"])
+
+    def found(p: Column) -> Column:
+        return F.flatten(F.transform(p["runs"], lambda run, k: within(run, F.get(p["heads"], k))))
 
-    return F.when(text.rlike(pattern), let(parts, fold)).otherwise(F.array().cast(_SPANS))
+    with_steps = lambda p: F.struct(p["hit"].alias("hit"), steps(p).alias("steps"))
+    with_runs = lambda p: F.struct(runs(p).alias("runs"))
+    with_heads = lambda p: F.struct(p["runs"].alias("runs"), heads(p).alias("heads"))
+    all_ = let(let(let(let(parts, with_steps), with_runs), with_heads), found)
+    return F.when(text.rlike(pattern), all_).otherwise(F.array().cast(_SPANS))
 
 
 def shared(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -22,15 +22,28 @@ NEGATIVE = "negativo"
 SIZES = (4, 10)
 
 
+def hash_order(key: str, seed: int) -> Column:
+    """A sign that orders keys by chance, the same in every engine."""
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
+
+
 def folds(docs: DataFrame, level: str, key: str, n: int = 5, seed: int = 42) -> DataFrame:
-    """``docs`` with fold 0..n-1: each level dealt out in hash order, so folds differ by one document at most."""
-    w = Window.partitionBy(level).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return docs.withColumn("fold", (F.row_number().over(w) - 1) % n)
+    """``docs`` with fold 0..n-1: each level dealt out in hash order, so folds differ by one document at most.
+
+    Ranks are counted within the first two signs of the hash and moved on by what precedes these, so a level is no task.
+    """
+    rows = docs.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = rows.groupBy(F.col(level).alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_l", "_c", F.coalesce(ahead, F.lit(0)).alias("_ahead"))  # at most 256 rows a level
+    rank = F.row_number().over(Window.partitionBy(level, "_b").orderBy("_h", key)) - 1
+    out = rows.withColumn("_r", rank).join(sizes, F.col(level).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    return out.select(*docs.columns, ((F.col("_r") + F.col("_ahead")) % n).cast("long").alias("fold"))
 
 
 def first_per(rows: DataFrame, group: str, most: int, key: str, seed: int = 42) -> DataFrame:
     """Up to ``most`` rows of each group, in hash order of ``key``: few-shot examples, synthetic instances of a fold."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(group).orderBy(hash_order(key, seed), key)
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
@@ -79,11 +92,12 @@ def train(examples: DataFrame, iterations: int = 200) -> PipelineModel:
 
 def window_spans(docs: DataFrame, model: PipelineModel, least: float = 0.5, sizes: tuple[int, int] = SIZES) -> DataFrame:
     """(doc, start, stop, type, score): windows of words that the model calls vague, best first, none overlapping."""
-    rows = docs.select("doc", "text", words(F.col("text")).alias("w"))
-    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1])))).where(F.size("w") >= F.col("n"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))))
-    rows = rows.select("doc", F.get("w", F.col("i"))["start"].alias("start"), F.get("w", F.col("i") + F.col("n") - 1)["stop"].alias("stop"), "text")
-    rows = rows.select("doc", "start", "stop", char_grams(F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))).alias("grams"))
+    most = sizes[1]
+    ahead = F.transform(F.col("w"), lambda x, i: F.slice("w", i + 1, most))  # each word with those behind it, never the whole text
+    rows = docs.select("doc", words(F.col("text")).alias("w")).select("doc", F.explode(ahead).alias("w"))
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(sizes[0]), F.lit(most)))).where(F.size("w") >= F.col("n"))
+    window = F.array_join(F.transform(F.slice("w", F.lit(1), F.col("n")), lambda x: x["match"]), " ")
+    rows = rows.select("doc", F.get("w", 0)["start"].alias("start"), F.get("w", F.col("n") - 1)["stop"].alias("stop"), char_grams(window).alias("grams"))
     scored = model.transform(rows).select("doc", "start", "stop", F.col("predicted").alias("label"), F.array_max(vector_to_array("probability")).alias("score"))
     hits = scored.where((F.col("label") != NEGATIVE) & (F.col("score") >= least))
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "start", "stop", "label")))
@@ -94,7 +108,7 @@ def window_spans(docs: DataFrame, model: PipelineModel, least: float = 0.5, size
 
 def detection_report(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(gold, pred, matched, type_right, precision, recall, f1) of spans with doc, start, stop, type."""
-    w = Window.partitionBy("doc").orderBy("start", "stop")
+    w = Window.partitionBy("doc").orderBy("start", "stop", "type")
     g = gold.withColumn("g", F.row_number().over(w) - 1)
     p = pred.withColumn("p", F.row_number().over(w) - 1)
     pairs = align(iou_pairs(g, p))

@@ -128,7 +128,7 @@ def stress_report(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(n, span_recall, class_accuracy, link_accuracy): each gold span against its document's first prediction at iou 0.5 or more."""
     p = pred.select("doc", F.col("start").alias("p0"), F.col("stop").alias("p1"), F.col("label").alias("pl"), F.col("id").alias("pid"))
     hit = gold.join(p, "doc").where(iou(F.col("start"), F.col("stop"), F.col("p0"), F.col("p1")) >= 0.5)
-    first = hit.groupBy("doc", "g").agg(F.min_by(F.struct("pl", "pid"), F.struct("p0", "p1")).alias("m"))
+    first = hit.groupBy("doc", "g").agg(F.min(F.struct("p0", "p1", "pl", "pid")).alias("m"))
     rows = gold.join(first, ["doc", "g"], "left")
     found = F.col("m").isNotNull()
     same = F.when(found, (F.col("m.pl") == F.col("label")).cast("double"))
@@ -147,18 +147,23 @@ def words(text: Column) -> Column:
 
 
 def negative_windows(docs: DataFrame, gold: DataFrame, per_doc: int = 8, tries: int = 160, seed: int = 42) -> DataFrame:
-    """(doc, start, stop, match): up to ``per_doc`` windows of 4 to 10 words in each document that touch no gold span, out of ``tries`` drawn by hash."""
-    taken = gold.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("gold"))
-    rows = docs.select("doc", "text", words(F.col("text")).alias("w")).where(F.size("w") >= 4).join(taken, "doc", "left")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    rows = rows.withColumn("n", F.least(4 + pick(F.lit(7), F.col("doc"), F.col("k"), seed, "n"), F.size("w")))
-    rows = rows.withColumn("i", pick(F.size("w") - F.col("n") + 1, F.col("doc"), F.col("k"), seed, "i"))
-    rows = rows.withColumn("start", F.get("w", F.col("i"))["start"]).withColumn("stop", F.get("w", F.col("i") + F.col("n") - 1)["stop"])
-    free = rows.where(~F.coalesce(F.exists("gold", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start"))), F.lit(False)))
-    free = free.select("doc", "k", "start", "stop", F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start")).alias("match"))
-    once = free.groupBy("doc", "start", "stop", "match").agg(F.min("k").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy("k"))
-    return once.withColumn("r", rank).where(F.col("r") <= per_doc).drop("r", "k")
+    """(doc, start, stop, match): up to ``per_doc`` windows of 4 to 10 words in each document that touch no gold span, out of ``tries`` drawn by hash.
+
+    Draws are weighed within a document's row; its text is cut for the windows that are kept alone.
+    """
+    taken = gold.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("start", "stop")).alias("gold"))
+    rows = docs.select("doc", "text").join(taken, F.col("doc") == F.col("_doc"), "left").select("doc", "text", words(F.col("text")).alias("w"), F.coalesce("gold", F.array().cast("array<struct<start:int,stop:int>>")).alias("gold"))
+
+    def drawn(k: Column) -> Column:
+        n = F.least(4 + pick(F.lit(7), F.col("doc"), k, seed, "n"), F.size("w"))
+        first = pick(F.size("w") - n + 1, F.col("doc"), k, seed, "i")
+        return F.struct(F.get("w", first)["start"].alias("start"), F.get("w", first + n - 1)["stop"].alias("stop"))
+
+    all_ = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), drawn)
+    free = lambda x: ~F.exists("gold", lambda s: (s["start"] < x["stop"]) & (s["stop"] > x["start"]))
+    kept = F.slice(F.array_distinct(F.filter(all_, free)), 1, per_doc)  # the first of equal windows stays
+    chosen = rows.where(F.size("w") >= 4).select("doc", "text", F.explode(kept).alias("x"))
+    return chosen.select("doc", "x.start", "x.stop", F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")).alias("match"))
 
 
 def training_windows(docs: DataFrame, gold: DataFrame, seed: int = 42) -> DataFrame:

@@ -10,7 +10,9 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,7 @@ PHRASES = [(p, "jurisprudencia") for p in v.VAGUE_PRECEDENTS] + [(p, "lei") for
 SPANS = "doc string, start int, stop int, match string, phrase string, type string, score double"
 
 
+@lru_cache(maxsize=100_000)
 def normalized(s: str) -> str:
     """The row-wise twin of ``normalize_words``."""
     folded = "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
@@ -39,28 +42,50 @@ def apart(found: list[tuple]) -> list[tuple]:
     return sorted(kept, key=lambda f: f[1])
 
 
-def find_phrases(text: str, phrases: list[tuple[str, str]], least: float = 0.82) -> list[tuple]:
-    """(score, start, stop, phrase, type). Windows have a phrase's number of words, one fewer or one more; upper bounds
-    on the ratio rule most windows out before it is computed, which changes no result."""
-    spots = [m.span() for m in re.finditer("\\S+", text)]
+LETTERS = 32
+
+
+@lru_cache(maxsize=100_000)
+def letter_counts(s: str) -> np.ndarray:
+    """How often each class of letters (code modulo ``LETTERS``) occurs."""
+    return np.bincount(np.frombuffer(s.encode("utf-32-le"), np.uint32) % LETTERS, minlength=LETTERS)
+
+
+def find_phrases(texts: list[str], phrases: list[tuple[str, str]], least: float = 0.82) -> list[list[tuple]]:
+    """(score, start, stop, phrase, type) of each text. Windows have a phrase's number of words, one fewer or one more.
+
+    A window shares no more letters with a phrase than the counts of both allow. Counts of all windows of all texts come
+    from running sums over the words, so that bound is taken at once, and the ratio computed for the few it lets pass.
+    """
+    found: list[list[tuple]] = [[] for _ in texts]
+    spots = [(d, *m.span()) for d, t in enumerate(texts) for m in re.finditer("\\S+", t)]
+    if not spots:
+        return found
+    plain = [normalized(texts[d][a:b]) for d, a, b in spots]
+    of = np.array([d for d, _, _ in spots])
+    counts = np.zeros((len(plain) + 1, LETTERS), np.int32)
+    np.cumsum([letter_counts(w) for w in plain], axis=0, out=counts[1:])
     by_size: dict[int, list[tuple[str, str, str]]] = {}
     for phrase, kind in phrases:
         n = len(phrase.split())
         for size in {n - 1, n, n + 1} - {0, -1}:
             by_size.setdefault(size, []).append((phrase, kind, normalized(phrase)))
-    found = []
     for size, group in by_size.items():
-        for i in range(len(spots) - size + 1):
-            a, b = spots[i][0], spots[i + size - 1][1]
-            window = normalized(text[a:b])
-            matcher = difflib.SequenceMatcher(None, "", window)
-            for phrase, kind, norm in group:
-                if 2 * min(len(norm), len(window)) < least * (len(norm) + len(window)):
-                    continue
-                matcher.set_seq1(norm)
+        if size > len(plain):
+            continue
+        window = counts[size:] - counts[:-size]
+        window[:, ord(" ") % LETTERS] += size - 1
+        length = window.sum(axis=1)
+        whole = of[: len(length)] == of[size - 1 :]
+        for phrase, kind, norm in group:
+            fits = np.flatnonzero(whole & (2 * np.minimum(len(norm), length) >= least * (len(norm) + length)))
+            shared = np.minimum(window[fits], letter_counts(norm).astype(np.int32)).sum(axis=1)
+            for i in fits[2 * shared >= least * (len(norm) + length[fits])].tolist():
+                words = " ".join(filter(None, plain[i : i + size]))
+                matcher = difflib.SequenceMatcher(None, norm, words)
                 if matcher.quick_ratio() >= least and (score := matcher.ratio()) >= least:
-                    found.append((score, a, b, phrase, kind))
-    return apart(found)
+                    found[spots[i][0]].append((score, spots[i][1], spots[i + size - 1][2], phrase, kind))
+    return [apart(f) for f in found]
 
 
 def phrase_spans(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, least: float = 0.82, key: str = "doc", text: str = "text") -> DataFrame:
@@ -69,7 +94,16 @@ def phrase_spans(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, leas
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, a, b, t[a:b], p, kind, score) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for score, a, b, p, kind in find_phrases(t, wanted, least)]
+            keys, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
+            i = 0
+            while i < len(texts):  # a megabyte of text at a time
+                j, size = i, 0
+                while j < len(texts) and (j == i or size < 1 << 20):
+                    size += len(texts[j])
+                    j += 1
+                for k, t, spans in zip(keys[i:j], texts[i:j], find_phrases(texts[i:j], wanted, least), strict=True):
+                    rows += [(k, a, b, t[a:b], p, kind, score) for score, a, b, p, kind in spans]
+                i = j
             types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in SPANS.split(", ")])

@@ -1,46 +1,40 @@
-"""Registry index and resolution of spans by how many records a lookup finds, as joins.
-
-The registry is small beside the documents; an index is broadcast only while its row count is under ``BROADCAST_ROWS``.
-"""
+"""Registry index and resolution of spans by how many records a lookup finds: one join by key for spans of every kind."""
 
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
-from quillon.functions.text import class_text, normalize_words
+from quillon.functions.text import class_text, fold_accents
 from quillon.operators import vocabulary as v
-from quillon.operators.extraction import extract
-
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast where its size is proven, else left to the optimizer."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+from quillon.operators.extraction import own_number
+from quillon.operators.phrases import normalized
 
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2M/T of the longest matching blocks; 0 where the length bound already rules a match out."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """2M/T of the longest matching blocks; null where either is null."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def own_numbers(records: DataFrame) -> DataFrame:
-    """(id, digits, snippet): a judgment's own number, the first within 80 characters of its opening formula, else the first."""
-    formula = "(?iu)(?:relatados?\\s+e\\s+discutidos|vistos?,?\\s+relatados?)\\s+estes\\s+autos\\s+de"
-    spans = extract(records, "id", "texto", numbers_only=True).where("kind = 'numero'")
-    opening = F.regexp_extract("texto", formula, 0)
-    at = F.when(opening != "", F.instr(F.col("texto"), opening) - 1 + F.length(opening))
-    marks = records.select(F.col("id").cast("string").alias("doc"), at.alias("mark"))
-    near = F.coalesce((F.col("start") >= F.col("mark")) & (F.col("start") - F.col("mark") < 80), F.lit(False))
-    order = Window.partitionBy("doc").orderBy(near.desc(), "start")
-    first = spans.join(marks, "doc").withColumn("n", F.row_number().over(order)).where("n = 1")
-    return first.select(F.col("doc").cast("long").alias("id"), "digits", F.col("match").alias("snippet"))
+    """(id, digits, snippet): each record's own number; records without one are left out."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, own_number(t or "")) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(k, x.digits, x.match) for k, x in found if x]
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["id", "digits", "snippet"])
+
+    return records.select(F.col("id").cast("long"), F.col("texto").cast("string")).mapInArrow(read, "id long, digits string, snippet string")
 
 
 def precedent_numbers(records: DataFrame) -> DataFrame:
@@ -48,13 +42,13 @@ def precedent_numbers(records: DataFrame) -> DataFrame:
     known = F.lit(None).cast("int")
     for court, n in v.KNOWN_PRECEDENTS.items():
         known = F.when(F.col("tribunal") == court, n).otherwise(known)
-    found = F.regexp_extract("texto", "(?iu)S[UÚ]MULA\\s+(\\d+)", 1).try_cast("int")
+    found = F.regexp_extract(fold_accents(F.lower("texto")), "sumula\\s+([0-9]+)", 1).try_cast("int")
     return records.where("natureza = 'sumula'").select("id", F.col("tribunal").alias("court"), F.coalesce(found, known).alias("number"))
 
 
 def provisions(records: DataFrame) -> DataFrame:
     """(id, article, code) of records of kind dispositivo."""
-    article = F.regexp_extract("texto", "(?i)art(?:igo)?\\.?\\s*(\\d{1,4})", 1).try_cast("int")
+    article = F.regexp_extract(F.lower("texto"), "art(?:igo)?[.]?\\s*([0-9]{1,4})", 1).try_cast("int")
     code = F.lit(None).cast("string")
     for n, name in v.ARTICLE_CODES.items():
         code = F.when(F.col("article") == n, name).otherwise(code)
@@ -65,88 +59,117 @@ def build_index(records: DataFrame) -> dict[str, DataFrame]:
     return {"numbers": own_numbers(records.where("natureza = 'acordao'")), "precedents": precedent_numbers(records), "provisions": provisions(records), "records": records}
 
 
-def _label(n: Column, none: tuple, one: tuple, many: tuple) -> Column:
-    pick = lambda k: F.when(n == 0, F.lit(none[k])).when(n == 1, F.lit(one[k])).otherwise(F.lit(many[k]))
-    return F.struct(pick(0).alias("label"), pick(1).cast("double").alias("conf"))
-
-
-def _count(spans: DataFrame, found: DataFrame, condition: Column) -> DataFrame:
-    """spans with n (records found) and id (the least of them); ``found`` has its id in ``rid``."""
-    joined = spans.join(small(found), condition, "left")
-    return joined.groupBy(*spans.columns).agg(F.count_distinct("rid").alias("n"), F.min("rid").alias("id"))
-
-
-def by_number(spans: DataFrame, numbers: DataFrame, least: float = 0.30, margin: float = 0.15) -> DataFrame:
-    """Case numbers: none fake, one real; several are told apart by class text where the best leads clearly."""
-    idx = numbers.select(F.col("digits").alias("d"), F.col("id").alias("rid"), "snippet")
-    ties = spans.join(small(idx), F.col("digits") == F.col("d"))
-    scored = ties.withColumn("ratio", F.when(F.col("snippet").isNotNull(), similarity(class_text(F.col("match")), class_text(F.col("snippet")))))
-    w = Window.partitionBy("doc", "start", "stop").orderBy(F.desc_nulls_last("ratio"), "rid")
-    best = scored.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("ratio").over(w)).where("k = 1")
-    best = best.where((F.col("ratio") >= least) & (F.col("ratio") - F.coalesce("next", F.lit(0.0)) >= margin)).select("doc", "start", "stop", F.col("rid").alias("picked"))
-    out = _count(spans, idx.drop("snippet"), F.col("digits") == F.col("d")).join(best, ["doc", "start", "stop"], "left")
-    plain = _label(F.col("n"), ("inventada", 0.88), ("real", 0.97), ("incompleta", 0.75))
-    told = (F.col("n") > 1) & F.col("picked").isNotNull()
-    return out.withColumn("r", F.when(told, F.struct(F.lit("real").alias("label"), F.lit(0.80).alias("conf"))).otherwise(plain)).withColumn("id", F.when(told, F.col("picked")).otherwise(F.col("id"))).drop("picked")
-
-
-def by_rapporteur(spans: DataFrame, records: DataFrame) -> DataFrame:
-    """Rapporteur and year: equal year (and court), one name within the other or a shared word of four letters."""
-    low = lambda c: F.lower(F.trim(c))
+@lru_cache(maxsize=1)
+def code_names() -> list[tuple[str, str]]:
+    """(code, normalised name), in the order that settles ties."""
+    return [(code, normalized(name)) for code, names in v.CODES.items() for name in names]
+
+
+@lru_cache(maxsize=20_000)
+def code_named(clause: str, least: float = 0.72) -> str | None:
+    """The code whose name is most like the clause; a name that stands in it as whole words counts 1, the first wins ties."""
+    norm = normalized(clause)
+    words = f" {' '.join(''.join(c if c.isalnum() or c in './' else ' ' for c in norm).split())} "
+    best, code = 0.0, None
+    for key, name in code_names():
+        score = 1.0 if f" {name} " in words else difflib.SequenceMatcher(None, name, norm[: len(name) + 4]).ratio()
+        if score > best:
+            best, code = score, key
+    return code if best >= least else None
+
+
+@F.pandas_udf(StringType())
+def code_of(clause: pd.Series) -> pd.Series:
+    """The code that a clause names, null where none is like enough."""
+    return clause.map(lambda c: code_named(c) if c is not None else None)
+
+
+def keyed_index(index: dict[str, DataFrame]) -> DataFrame:
+    """(key, rid, ties, snippet, code, court, name): every way to look a record up, as one table; ties: records of its key."""
+    none = lambda t: F.lit(None).cast(t)
+    rid = F.col("id").alias("rid")
+    row = lambda d, key, **c: d.select(key.alias("key"), rid, *(c.get(n, none("string")).alias(n) for n in ("snippet", "code", "court", "name")))
+    p = index["precedents"]
+    numbers = row(index["numbers"], F.concat(F.lit("number|"), "digits"), snippet=F.col("snippet"))
+    by_number = row(p, F.concat_ws("|", F.lit("precedent"), F.col("court"), F.col("number").cast("string")).alias("key"))
+    by_court = row(p, F.concat(F.lit("court|"), "court"))
+    laws = row(index["provisions"], F.concat(F.lit("article|"), F.col("article").cast("string")), code=F.col("code"))
+    people = row(index["records"].where("relator is not null"), F.concat(F.lit("year|"), F.col("ano").cast("string")), court=F.col("tribunal"), name=F.lower(F.trim("relator")))
+    out = numbers.unionByName(by_number).unionByName(by_court).unionByName(laws).unionByName(people).where("key is not null")
+    once = out.groupBy("key", "rid").agg(*(F.min(c).alias(c) for c in ("snippet", "code", "court", "name")))
+    return once.withColumn("ties", F.count(F.lit(1)).over(Window.partitionBy("key")))
+
+
+def span_key() -> Column:
+    """What a span is looked up by; null where it names too little."""
+    known = F.col("number").cast("string")
+    precedent = F.when(F.col("court").isNull(), None).when(known.isNull(), F.concat(F.lit("court|"), "court")).otherwise(F.concat_ws("|", F.lit("precedent"), "court", known))
+    return (
+        F.when(F.col("kind") == "numero", F.concat(F.lit("number|"), "digits"))
+        .when(F.col("kind") == "sumula", precedent)
+        .when(F.col("kind") == "artigo", F.concat(F.lit("article|"), F.col("article").cast("string")))
+        .when(F.col("kind") == "relator_ano", F.concat(F.lit("year|"), F.col("year").cast("string")))
+    )
+
+
+def same_person(a: Column, b: Column) -> Column:
+    """One name within the other, or a shared word of four letters."""
     long_words = lambda c: F.filter(F.split(c, "\\s+"), lambda w: F.length(w) >= 4)
-    r = records.where("relator is not null").select(F.col("id").alias("rid"), F.col("ano").alias("ry"), F.col("tribunal").alias("rc"), low(F.col("relator")).alias("rn"))
-    name = low(F.col("rapporteur"))
-    like = F.contains(F.col("rn"), name) | F.contains(name, F.col("rn")) | F.arrays_overlap(long_words(F.col("rn")), long_words(name))
-    out = _count(spans, r, (F.col("year") == F.col("ry")) & (F.col("court").isNull() | (F.col("court") == F.col("rc"))) & like)
-    nameless = F.struct(F.lit("incompleta").alias("label"), F.lit(0.70).alias("conf"))
-    return out.withColumn("r", F.when(F.coalesce(name, F.lit("")) == "", nameless).otherwise(_label(F.col("n"), ("inventada", 0.65), ("real", 0.65), ("incompleta", 0.88))))
-
-
-def by_precedent(spans: DataFrame, precedents: DataFrame) -> DataFrame:
-    p = precedents.select(F.col("id").alias("rid"), F.col("court").alias("pc"), F.col("number").alias("pn"))
-    out = _count(spans, p, (F.col("court") == F.col("pc")) & (F.col("number").isNull() | (F.col("number") == F.col("pn"))))
-    no_court = F.struct(F.lit("incompleta").alias("label"), F.lit(0.85).alias("conf"))
-    no_number = F.struct(F.when(F.col("n") == 1, "real").otherwise("incompleta").alias("label"), F.when(F.col("n") == 1, 0.50).otherwise(0.60).alias("conf"))
-    full = _label(F.col("n"), ("inventada", 0.92), ("real", 0.97), ("incompleta", 0.70))
-    return out.withColumn("r", F.when(F.col("court").isNull(), no_court).when(F.col("number").isNull(), no_number).otherwise(full))
-
-
-def code_of(spans: DataFrame, clause: str = "clause", least: float = 0.72) -> DataFrame:
-    """``spans`` with code: the name most like the clause; a name that stands in it as whole words counts 1, first name wins ties."""
-    names = [(k, n, i) for i, (k, n) in enumerate((k, n) for k, ns in v.CODES.items() for n in ns)]
-    table = spans.sparkSession.createDataFrame(names, "code string, name string, ord int")  # a fixed few dozen rows
-    clauses = spans.select(clause).distinct().where(F.col(clause).isNotNull()).withColumn("norm", normalize_words(F.col(clause)))
-    pairs = clauses.join(F.broadcast(table), F.lit(True)).withColumn("name", normalize_words(F.col("name")))
-    whole = F.contains(F.concat(F.lit(" "), F.regexp_replace("norm", "[^a-z0-9./]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("name"), F.lit(" ")))
-    score = F.when(whole, F.lit(1.0)).otherwise(similarity(F.col("name"), F.substring("norm", F.lit(1), F.length("name") + 4)))
-    best = pairs.withColumn("score", score).groupBy(clause).agg(F.max_by(F.struct("code", "score"), F.struct("score", -F.col("ord"))).alias("b"))
-    best = best.select(F.col(clause).alias("_c"), F.when(F.col("b.score") >= least, F.col("b.code")).alias("code"))
-    return spans.join(best, F.col(clause) == F.col("_c"), "left").drop("_c")
-
-
-def by_article(spans: DataFrame, laws: DataFrame) -> DataFrame:
-    p = laws.select(F.col("id").alias("rid"), F.col("article").alias("pa"), F.col("code").alias("pcode"))
-    with_code = code_of(spans)
-    joined = with_code.join(small(p), F.col("article") == F.col("pa"), "left")
-    exact = F.col("pcode") == F.col("code")
-    out = joined.groupBy(*with_code.columns).agg(F.count_distinct("rid").alias("n"), F.min("rid").alias("any_id"), F.count_distinct(F.when(exact, F.col("rid"))).alias("m"), F.min(F.when(exact, F.col("rid"))).alias("exact_id"))
-    pair = lambda label, conf: F.struct(F.lit(label).alias("label"), F.lit(conf).alias("conf"))
-    unknown = F.when(F.col("n") == 1, pair("real", 0.65)).otherwise(pair("incompleta", 0.60))
-    known = F.when(F.col("m") == 1, pair("real", 0.97)).when(F.col("m") == 0, pair("inventada", 0.92)).otherwise(pair("incompleta", 0.60))
-    r = F.when(F.col("article").isNull(), pair("incompleta", 0.85)).when(F.col("n") == 0, pair("inventada", 0.90)).when(F.col("code").isNull(), unknown).otherwise(known)
-    return out.withColumn("r", r).withColumn("id", F.coalesce("exact_id", "any_id")).drop("any_id", "exact_id", "m", "code")
+    return F.contains(a, b) | F.contains(b, a) | F.arrays_overlap(long_words(a), long_words(b))
+
+
+def found_records(spans: DataFrame, index: dict[str, DataFrame], margin: float = 0.15) -> DataFrame:
+    """``spans`` with n records found, m of them of the span's code, id (of that code, if any, else the least), and for
+    several records of one number the one whose class text leads clearly (picked, ratio).
+
+    One left join by key for spans of every kind, so a document is read once; whether the index is broadcast is left to
+    the optimizer and its statistics. Candidates of a span are weighed in the exchange that counts them.
+    """
+    of = ["doc", "start", "stop"]
+    rows = spans.withColumn("clause_code", code_of(F.when(F.col("kind") == "artigo", F.col("clause")))).withColumn("key", span_key())
+    idx = keyed_index(index).select("key", "rid", "ties", "snippet", F.col("code").alias("rcode"), F.col("court").alias("rcourt"), "name")
+    joined = rows.join(idx, "key", "left")
+    who = F.lower(F.trim("rapporteur"))
+    person = (F.col("court").isNull() | (F.col("court") == F.col("rcourt"))) & same_person(F.col("name"), who)
+    joined = joined.withColumn("ok", F.col("rid").isNotNull() & ((F.col("kind") != "relator_ano") | F.coalesce(person, F.lit(False))))
+    tied = (F.col("kind") == "numero") & (F.col("ties") > 1)
+    joined = joined.withColumn("like", similarity(F.when(tied, class_text(F.col("match"))), F.when(tied, class_text(F.col("snippet")))))
+    joined = joined.withColumn("best", F.max("like").over(Window.partitionBy(*of)))
+    exact = F.col("ok") & (F.col("rcode") == F.col("clause_code"))
+    found = joined.groupBy(*of).agg(
+        *(F.first(c).alias(c) for c in ("match", "type", "kind", "court", "number", "article", "rapporteur", "clause_code")),
+        F.count_if("ok").alias("n"),
+        F.count_if(exact).alias("m"),
+        F.coalesce(F.min(F.when(exact, F.col("rid"))), F.min(F.when(F.col("ok"), F.col("rid")))).alias("id"),
+        F.max("best").alias("ratio"),
+        F.count_if(F.col("best") - F.col("like") < margin).alias("leaders"),
+        F.max_by("rid", "like").alias("picked"),
+    )
+    return found.withColumn("picked", F.when(F.col("leaders") == 1, F.col("picked")))
+
+
+def verdict(least: float = 0.30) -> Column:
+    """(label, conf) by kind and how many records were found."""
+    pair = lambda label, conf: F.struct(F.lit(label).alias("label"), F.lit(conf).cast("double").alias("conf"))
+    by = lambda n, none, one, many: F.when(n == 0, pair("inventada", none)).when(n == 1, pair("real", one)).otherwise(pair("incompleta", many))
+    n, m = F.col("n"), F.col("m")
+    told = F.col("picked").isNotNull() & (F.col("ratio") >= least)
+    number = F.when((n > 1) & told, pair("real", 0.80)).otherwise(by(n, 0.88, 0.97, 0.75))
+    nameless = F.coalesce(F.trim("rapporteur"), F.lit("")) == ""
+    person = F.when(nameless, pair("incompleta", 0.70)).otherwise(by(n, 0.65, 0.65, 0.88))
+    no_number = F.when(n == 1, pair("real", 0.50)).otherwise(pair("incompleta", 0.60))
+    precedent = F.when(F.col("court").isNull(), pair("incompleta", 0.85)).when(F.col("number").isNull(), no_number).otherwise(by(n, 0.92, 0.97, 0.70))
+    unknown = F.when(n == 1, pair("real", 0.65)).otherwise(pair("incompleta", 0.60))
+    article = F.when(F.col("article").isNull(), pair("incompleta", 0.85)).when(n == 0, pair("inventada", 0.90)).when(F.col("clause_code").isNull(), unknown).otherwise(by(m, 0.92, 0.97, 0.60))
+    kind = F.col("kind")
+    return F.when(kind == "numero", number).when(kind == "relator_ano", person).when(kind == "sumula", precedent).when(kind == "artigo", article).when(kind == "tema", pair("inventada", 0.95)).otherwise(pair("incompleta", 0.30))
 
 
 def resolve(spans: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
-    """doc, start, stop, match, type, label, conf, id (real spans only)."""
-    kind = lambda k: spans.where(F.col("kind") == k)
-    tema = kind("tema").withColumn("r", F.struct(F.lit("inventada").alias("label"), F.lit(0.95).alias("conf"))).withColumn("id", F.lit(None).cast("long"))
-    parts = [by_number(kind("numero"), index["numbers"]), by_rapporteur(kind("relator_ano"), index["records"]), by_precedent(kind("sumula"), index["precedents"]), by_article(kind("artigo"), index["provisions"]), tema]
-    cols = ["doc", "start", "stop", "match", "type", F.col("r.label").alias("label"), F.round("r.conf", 4).alias("conf"), F.when(F.col("r.label") == "real", F.col("id").cast("string")).alias("id")]
-    out = parts[0].select(*cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*cols))
-    return out
+    """doc, start, stop, match, type, kind, label, conf, id (real spans only)."""
+    out = found_records(spans.where("start is not null"), index).withColumn("r", verdict())
+    chosen = F.when((F.col("kind") == "numero") & (F.col("n") > 1), F.col("picked")).otherwise(F.col("id"))
+    return out.select("doc", "start", "stop", "match", "type", "kind", F.col("r.label").alias("label"), F.round("r.conf", 4).alias("conf"), F.when(F.col("r.label") == "real", chosen.cast("string")).alias("id"))
 
 
 def assemble(docs: DataFrame, resolved: DataFrame, key: str = "doc") -> DataFrame:

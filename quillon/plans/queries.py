@@ -1,7 +1,7 @@
 """Registered queries of the citation operators on the driver's tables, each with its DuckDB twin where SQL has one.
 
-Stand-ins: documents and pages are input texts; ``customer`` against large ``orders`` is a citation-to-registry lookup;
-spans of two patterns of different breadth are gold and prediction; ``labels`` gives classes.
+Citations and a registry with known answers are written from ``orders`` (``planted``); lines of an order are gold and
+predicted spans; ``documents`` are texts for the span functions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import spans as S
 from quillon.functions import text as T
-from quillon.operators import cells, evaluate, noise, official
+from quillon.operators import cells, evaluate, experiment, noise, official, phrases, resolve
+from quillon.operators.extraction import extract
+from quillon.plans import planted
 from quillon.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +52,7 @@ def span_sql(pattern: str) -> str:
     p = pattern.replace("'", "''")
     return f"""(SELECT doc_id, b AS start, b + length(m) AS stop, m AS match FROM (
       SELECT doc_id, h[k] AS m, CAST(coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS b
-      FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS h, regexp_split_to_array(text, '{p}') AS g FROM documents WHERE regexp_matches(text, '{p}')) t, (SELECT unnest(range(1, 5000)) AS k) n WHERE k <= len(h)))"""
+      FROM (SELECT doc_id, h, g, unnest(range(1, len(h) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS h, regexp_split_to_array(text, '{p}') AS g FROM documents WHERE regexp_matches(text, '{p}')))))"""
 
 
 for _name, _p in (("span_digit_runs", DIGITS), ("span_ipv4", IPV4), ("span_phone", PHONE), ("span_token", TOKEN), ("span_mail", MAIL)):
@@ -65,20 +67,6 @@ query("number_regroup", "SELECT o_orderkey, reverse(regexp_replace(rtrim(regexp_
 query("plain_ids", "SELECT l_orderkey, l_linenumber, coalesce(nullif(ltrim(lpad(CAST(l_orderkey % 100 AS VARCHAR), 4, '0'), '0'), ''), '0') AS id FROM lineitem")(lambda s, sf: table(s, sf, "lineitem").select("l_orderkey", "l_linenumber", T.plain_id(F.lpad((F.col("l_orderkey") % 100).cast("string"), 4, "0")).alias("id")))
 
 
-@query("context_excluded_numbers", f"SELECT doc_id, start, regexp_matches(substring(text, greatest(1, start - 24), least(25, start)), '(?i)(token|card|phone|id)[^a-z]*$') AS excluded FROM {span_sql(DIGITS)} s JOIN documents d USING (doc_id)")
-def context_excluded_numbers(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", F.explode(S.match_spans(F.col("text"), DIGITS)).alias("s"))
-    before = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("s.start") - 24), F.least(F.lit(25), F.col("s.start")))
-    return d.select("doc_id", F.col("s.start").cast("long").alias("start"), before.rlike("(?i)(token|card|phone|id)[^a-z]*$").alias("excluded"))
-
-
-@query("span_suffix_extend", f"SELECT doc_id, start, CAST(stop + length(regexp_extract(substring(text, CAST(stop + 1 AS BIGINT), 12), '^[ ]*[A-Za-z]{{2}}')) AS BIGINT) AS stop FROM {span_sql(DIGITS)} s JOIN documents d USING (doc_id)")
-def span_suffix_extend(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", F.explode(S.match_spans(F.col("text"), DIGITS)).alias("s"))
-    tail = F.regexp_extract(F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(12)), "^[ ]*[A-Za-z]{2}", 0)
-    return d.select("doc_id", F.col("s.start").cast("long").alias("start"), (F.col("s.stop") + F.length(tail)).cast("long").alias("stop"))
-
-
 @query("union_extractors", f"SELECT doc_id, start, stop, 0 AS source FROM {span_sql(DIGITS)} UNION ALL SELECT doc_id, start, stop, 1 AS source FROM {span_sql(IPV4)}")
 def union_extractors(spark, sf):
     return span_rows(spark, sf, DIGITS).select("doc_id", "start", "stop", F.lit(0).alias("source")).unionByName(span_rows(spark, sf, IPV4).select("doc_id", "start", "stop", F.lit(1).alias("source")))
@@ -93,127 +81,166 @@ def greedy_claim_spans(spark, sf):
     return both.groupBy("doc_id").agg(kept.alias("k")).select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.start", "k.stop", "k.source")
 
 
-@query("own_number_first", f"SELECT doc_id, start, match FROM {span_sql(DIGITS)} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (start < 500) DESC, start) = 1")
-def own_number_first(spark, sf):
-    w = Window.partitionBy("doc_id").orderBy((F.col("start") < 500).desc(), "start")
-    return span_rows(spark, sf, DIGITS).withColumn("n", F.row_number().over(w)).where("n = 1").select("doc_id", "start", "match")
-
-
-@query("resolve_by_number", """SELECT c_custkey, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS n, CASE count(DISTINCT o_orderkey) WHEN 0 THEN 'inventada' WHEN 1 THEN 'real' ELSE 'incompleta' END AS label,
-    CASE count(DISTINCT o_orderkey) WHEN 0 THEN 0.88 WHEN 1 THEN 0.97 ELSE 0.75 END::DOUBLE AS conf, CASE WHEN count(DISTINCT o_orderkey) = 1 THEN min(o_orderkey) END AS id
-    FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey GROUP BY c_custkey""")
-def resolve_by_number(spark, sf):
-    o = table(spark, sf, "orders").where("o_totalprice > 400000").select("o_custkey", "o_orderkey")
-    g = table(spark, sf, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count_distinct("o_orderkey").alias("n"), F.min("o_orderkey").alias("one"))
-    pick = lambda a, b, c: F.when(F.col("n") == 0, a).when(F.col("n") == 1, b).otherwise(c)
-    return g.select("c_custkey", "n", pick("inventada", "real", "incompleta").alias("label"), pick(0.88, 0.97, 0.75).cast("double").alias("conf"), F.when(F.col("n") == 1, F.col("one")).alias("id"))
-
-
-@query("resolve_person_year", """SELECT s_suppkey, y, CAST(count(DISTINCT c_custkey) AS BIGINT) AS n FROM (SELECT s_suppkey, s_nationkey AS y, lower(s_name) AS sn FROM supplier) s
-    LEFT JOIN (SELECT c_custkey, c_nationkey, lower(c_name) AS cn FROM customer) c ON c_nationkey = y AND (contains(cn, right(sn, 2)) OR list_has_any(string_split(cn, '#'), string_split(sn, '#'))) GROUP BY ALL""")
-def resolve_person_year(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("y"), F.lower("s_name").alias("sn"))
-    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.lower("c_name").alias("cn"))
-    like = F.contains(F.col("cn"), F.substring(F.col("sn"), F.length("sn") - 1, F.lit(2))) | F.arrays_overlap(F.split("cn", "#"), F.split("sn", "#"))
-    return s.join(c, (F.col("c_nationkey") == F.col("y")) & like, "left").groupBy("s_suppkey", "y").agg(F.count_distinct("c_custkey").alias("n"))
-
-
-@query("resolve_court_number", "SELECT l_orderkey, l_linenumber, CAST(count(DISTINCT p_partkey) AS BIGINT) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size = CAST(l_quantity AS INT) GROUP BY ALL")
-def resolve_court_number(spark, sf):
-    l, p = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("q")), table(spark, sf, "part").select("p_partkey", "p_size")
-    return l.join(p, (F.col("l_partkey") == F.col("p_partkey")) & (F.col("q") == F.col("p_size")), "left").groupBy("l_orderkey", "l_linenumber").agg(F.count_distinct("p_partkey").alias("n"))
-
-
-@query("resolve_article_code", """SELECT s_suppkey, CAST(count(p_partkey) AS BIGINT) AS n, CAST(count(p_partkey) FILTER (WHERE p_brand = 'Brand#' || CAST(1 + s_nationkey % 5 AS VARCHAR) || '1') AS BIGINT) AS exact FROM supplier LEFT JOIN part ON p_size = s_suppkey % 50 + 1 GROUP BY s_suppkey""")
-def resolve_article_code(spark, sf):
-    s, p = table(spark, sf, "supplier"), table(spark, sf, "part")
-    code = F.concat(F.lit("Brand#"), (1 + F.col("s_nationkey") % 5).cast("string"), F.lit("1"))
-    return s.join(p, F.col("p_size") == F.col("s_suppkey") % 50 + 1, "left").groupBy("s_suppkey").agg(F.count("p_partkey").alias("n"), F.count_if(F.col("p_brand") == code).alias("exact"))
-
-
 @query("fuzzy_levenshtein_match", "SELECT n_nationkey, arg_min(r_name, struct_pack(d := levenshtein(n_name, r_name), k := r_regionkey)) AS best FROM nation, region GROUP BY n_nationkey")
 def fuzzy_levenshtein_match(spark, sf):
     n, r = table(spark, sf, "nation"), F.broadcast(table(spark, sf, "region"))  # a fixed five rows
     return n.join(r, F.lit(True)).groupBy("n_nationkey").agg(F.min_by("r_name", F.struct(F.levenshtein("n_name", "r_name").alias("d"), F.col("r_regionkey").alias("k"))).alias("best"))
 
 
-@query("disambiguate_top2_margin", """WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice / 500000 AS r, row_number() OVER w AS k, lead(o_totalprice / 500000) OVER w AS nxt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))
-    SELECT o_custkey, o_orderkey FROM s WHERE k = 1 AND r >= 0.30 AND r - coalesce(nxt, 0) >= 0.15""")
-def disambiguate_top2_margin(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    s = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 500000).alias("r"), F.row_number().over(w).alias("k"), F.lead(F.col("o_totalprice") / 500000).over(w).alias("nxt"))
-    return s.where("k = 1 and r >= 0.30 and r - coalesce(nxt, 0) >= 0.15").select("o_custkey", "o_orderkey")
+#: Gold and predicted spans of every order: lines lie so close that spans overlap in chains, short ones lie within others.
+_ORDER = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax"
+_LABEL = "CASE l_returnflag WHEN 'A' THEN 'real' WHEN 'N' THEN 'inventada' ELSE 'incompleta' END"
+_PRED_LABEL = f"CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN 'real' WHEN 1 THEN {_LABEL} WHEN 2 THEN 'inventada' ELSE 'incompleta' END"
+_AT = "l_linenumber * 4 + l_partkey % 5"
+GOLD = {
+    "doc": "CAST(l_orderkey AS STRING)",
+    "g": f"CAST(row_number() OVER (PARTITION BY l_orderkey {_ORDER}) - 1 AS BIGINT)",
+    "level": "CAST(l_orderkey % 2 + 1 AS INT)",
+    "start": "CAST(l_linenumber * 4 AS BIGINT)",
+    "stop": "CAST(l_linenumber * 4 + 10 AS BIGINT)",
+    "label": _LABEL,
+    "one_id": "CAST(l_partkey % 50 AS STRING)",
+    "match": "'trecho ' || CAST(l_partkey AS STRING)",
+}
+PRED = {
+    "doc": "CAST(l_orderkey AS STRING)",
+    "p": f"CAST(row_number() OVER (PARTITION BY l_orderkey {_ORDER}) - 1 AS BIGINT)",
+    "start": f"CAST({_AT} AS BIGINT)",
+    "stop": f"CAST({_AT} + (CASE l_suppkey % 3 WHEN 0 THEN 4 ELSE 10 END) AS BIGINT)",
+    "label": _PRED_LABEL,
+    "id": "CAST(l_partkey % 50 + l_suppkey % 2 AS STRING)",
+    "conf": "CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE CAST(l_partkey % 100 AS DOUBLE) / 100 END",
+    "match": "'achado ' || CAST(l_partkey AS STRING)",
+}
+_KEPT = "l_partkey % 11 <> 0"
 
 
 def gold_pred(spark, sf):
-    gold = span_rows(spark, sf, DIGITS).select(F.col("doc_id").alias("doc"), "start", "stop")
-    pred = span_rows(spark, sf, PARTS).select(F.col("doc_id").alias("doc"), "start", "stop")
-    w = Window.partitionBy("doc").orderBy("start")
-    return gold.withColumn("g", F.row_number().over(w).cast("long") - 1), pred.withColumn("p", F.row_number().over(w).cast("long") - 1)
-
-
-_G = f"g AS (SELECT doc_id AS doc, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS g FROM {span_sql(DIGITS)})"
-_P = f"p AS (SELECT doc_id AS doc, start, stop, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS p FROM {span_sql(PARTS)})"
-_I = "i AS (SELECT g.doc, g.g, p.p, (least(g.stop, p.stop) - greatest(g.start, p.start))::DOUBLE / (greatest(g.stop, p.stop) - least(g.start, p.start)) AS iou FROM g JOIN p ON g.doc = p.doc AND g.start < p.stop AND p.start < g.stop)"
-_A = "a AS (SELECT doc, g, p, iou FROM (SELECT *, row_number() OVER (PARTITION BY doc, g ORDER BY iou DESC, p) AS x, row_number() OVER (PARTITION BY doc, p ORDER BY iou DESC, g) AS y FROM i WHERE iou >= 0.5) WHERE x = 1 AND y = 1)"
-_W = f"WITH {_G}, {_P}, {_I}, {_A}"
+    lines = table(spark, sf, "lineitem")
+    gold = lines.selectExpr(*(f"{e} AS {n}" for n, e in GOLD.items())).withColumn("ids", F.array("one_id")).drop("one_id")
+    return gold, lines.where(_KEPT).selectExpr(*(f"{e} AS {n}" for n, e in PRED.items()))
+
+
+_SELECT = lambda cols: ", ".join(f"{e} AS {n}" for n, e in cols.items())
+_G = f"g AS (SELECT {_SELECT(GOLD)} FROM lineitem), p AS (SELECT {_SELECT(PRED)} FROM lineitem WHERE {_KEPT})"
+_I = "i AS (SELECT g.doc, g.g, p.p, CAST(least(g.stop, p.stop) - greatest(g.start, p.start) AS DOUBLE) / (greatest(g.stop, p.stop) - least(g.start, p.start)) AS iou FROM g JOIN p ON g.doc = p.doc AND g.start < p.stop AND p.start < g.stop)"
+#: Greedy pairs, one after the other: best overlap first, each side once.
+_A = """q AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY iou DESC, g, p) AS r FROM i WHERE iou >= 0.5),
+  s AS (SELECT DISTINCT doc, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS ps, FALSE AS ok, CAST(NULL AS BIGINT) AS g, CAST(NULL AS BIGINT) AS p, CAST(NULL AS DOUBLE) AS iou FROM q
+    UNION ALL SELECT doc, r, CASE WHEN ok THEN list_append(gs, g) ELSE gs END, CASE WHEN ok THEN list_append(ps, p) ELSE ps END, ok, g, p, iou
+      FROM (SELECT q.doc, q.r, gs, ps, NOT list_contains(gs, q.g) AND NOT list_contains(ps, q.p) AS ok, q.g, q.p, q.iou FROM s JOIN q ON q.doc = s.doc AND q.r = s.r + 1)),
+  a AS (SELECT doc, g, p, iou FROM s WHERE ok)"""
+_W = f"WITH RECURSIVE {_G}, {_I}, {_A}"
+_T = "t AS (SELECT p.doc, p.p FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = p.doc AND a.p = p.p) AND EXISTS (SELECT 1 FROM a JOIN g ON a.doc = g.doc AND a.g = g.g WHERE g.doc = p.doc AND least(g.stop, p.stop) - greatest(g.start, p.start) >= 0.9 * (p.stop - p.start)))"
+_LOST = "g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = g.doc AND a.g = g.g)"
+_MORE = "p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = p.doc AND a.p = p.p)"
 query("iou_pairs", f"{_W} SELECT doc, g, p, round(iou, 9) AS iou FROM i WHERE iou >= 0.5")(lambda s, sf: evaluate.iou_pairs(*gold_pred(s, sf)).withColumn("iou", F.round("iou", 9)))
 query("align_best_iou", f"{_W} SELECT doc, g, p, round(iou, 9) AS iou FROM a")(lambda s, sf: evaluate.align(evaluate.iou_pairs(*gold_pred(s, sf))).withColumn("iou", F.round("iou", 9)))
 
 
-@query("unmatched_gold", f"{_W} SELECT doc, g FROM g WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = g.doc AND a.g = g.g)")
+@query("unmatched_gold", f"{_W} SELECT doc, g FROM {_LOST}")
 def unmatched_gold(spark, sf):
     g, p = gold_pred(spark, sf)
     return evaluate.unmatched(g, evaluate.align(evaluate.iou_pairs(g, p)), "g").select("doc", "g")
 
 
-@query("unmatched_pred", f"{_W} SELECT doc, p FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = p.doc AND a.p = p.p)")
+@query("unmatched_pred", f"{_W} SELECT doc, p FROM {_MORE}")
 def unmatched_pred(spark, sf):
     g, p = gold_pred(spark, sf)
     return evaluate.unmatched(p, evaluate.align(evaluate.iou_pairs(g, p)), "p").select("doc", "p")
 
 
-@query("extra_tolerated", f"{_W} SELECT doc, p FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc = p.doc AND a.p = p.p) AND EXISTS (SELECT 1 FROM a JOIN g ON a.doc = g.doc AND a.g = g.g WHERE g.doc = p.doc AND least(g.stop, p.stop) - greatest(g.start, p.start) >= 0.9 * (p.stop - p.start))")
+@query("extra_tolerated", f"{_W}, {_T} SELECT doc, p FROM t")
 def extra_tolerated(spark, sf):
     g, p = gold_pred(spark, sf)
     pairs = evaluate.align(evaluate.iou_pairs(g, p))
     return evaluate.tolerated(evaluate.unmatched(p, pairs, "p"), g.join(pairs.select("doc", "g"), ["doc", "g"], "left_semi")).select("doc", "p")
 
 
-#: One row an order: its priority's class against the class its price suggests, at a level.
-_O = """o AS (SELECT o_orderkey % 2 + 1 AS level, CASE WHEN o_orderpriority < '2' THEN 'real' WHEN o_orderpriority < '4' THEN 'inventada' ELSE 'incompleta' END AS gl,
-  CASE WHEN o_totalprice > 300000 THEN 'real' WHEN o_totalprice > 100000 THEN 'inventada' ELSE 'incompleta' END AS pl, (o_orderkey % 100) / 100.0 AS conf FROM orders),
-  r AS (SELECT level, gl AS label, (gl = pl)::INT AS tp, 0 AS fp, (gl <> pl)::INT AS fn, 1 AS support, (gl = 'inventada' AND pl = 'real')::INT AS severe, (conf::DOUBLE - (gl = pl)::INT) ** 2 AS brier FROM o
-  UNION ALL SELECT level, pl, 0, (gl <> pl)::INT, 0, 0, 0, NULL FROM o),
+_M = "m AS (SELECT a.doc, a.g, a.p, g.level, g.start, g.match, g.label AS gl, p.label AS pl, p.conf, g.label = p.label AS same, g.label = p.label AND (g.label <> 'real' OR g.one_id = p.id) AS hit, g.one_id = p.id AS linked FROM a JOIN g ON a.doc = g.doc AND a.g = g.g JOIN p ON a.doc = p.doc AND a.p = p.p)"
+_D = "d AS (SELECT doc, min(level) AS level FROM g GROUP BY doc)"
+_O = f"""{_W}, {_T}, {_M}, {_D},
+  r AS (SELECT level, gl AS label, hit::INT AS tp, (same AND NOT hit)::INT AS fp, (NOT same)::INT AS fn, 1 AS support, (gl = 'inventada' AND pl = 'real')::INT AS severe, (conf - hit::INT) ** 2 AS brier FROM m
+  UNION ALL SELECT level, pl, 0, (NOT same)::INT, 0, 0, 0, NULL FROM m
+  UNION ALL SELECT level, label, 0, 0, 1, 1, 0, NULL FROM {_LOST}
+  UNION ALL SELECT d.level, x.label, 0, 1, 0, 0, 0, NULL FROM (SELECT * FROM {_MORE}) x JOIN d USING (doc) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = x.doc AND t.p = x.p)),
   c AS (SELECT level, label, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(support)::BIGINT AS support FROM r GROUP BY ALL)"""
 
 
-def order_outcomes(spark, sf):
-    o = table(spark, sf, "orders")
-    by = lambda c, a, b: F.when(c < a, "real").when(c < b, "inventada").otherwise("incompleta")
-    o = o.select((F.col("o_orderkey") % 2 + 1).alias("level"), by(F.col("o_orderpriority"), "2", "4").alias("gl"), by(-F.col("o_totalprice"), -300000, -100000).alias("pl"), ((F.col("o_orderkey") % 100) / 100.0).alias("conf"))
-    same = (F.col("gl") == F.col("pl")).cast("int")
-    a = o.select("level", F.col("gl").alias("label"), same.alias("tp"), F.lit(0).alias("fp"), (1 - same).alias("fn"), F.lit(1).alias("support"), ((F.col("gl") == "inventada") & (F.col("pl") == "real")).cast("int").alias("severe"), F.pow(F.col("conf") - same, F.lit(2)).alias("brier"))
-    b = o.select("level", F.col("pl").alias("label"), F.lit(0).alias("tp"), (1 - same).alias("fp"), F.lit(0).alias("fn"), F.lit(0).alias("support"), F.lit(0).alias("severe"), F.lit(None).cast("double").alias("brier"))
-    return a.unionByName(b)
+def outcomes(spark, sf):
+    return evaluate.outcomes(*gold_pred(spark, sf))
 
 
-query("confusion_by_level", f"WITH {_O} SELECT * FROM c")(lambda s, sf: evaluate.confusion(order_outcomes(s, sf)))
+query("confusion_by_level", f"{_O} SELECT * FROM c")(lambda s, sf: evaluate.confusion(outcomes(s, sf)))
 _F1 = "CASE WHEN 2*tp+fp+fn > 0 THEN 2.0*tp/(2*tp+fp+fn) ELSE 0 END"
-query("f1_by_class", f"WITH {_O} SELECT level, label, round(({_F1})::DOUBLE, 9) AS f1 FROM c")(lambda s, sf: evaluate.confusion(order_outcomes(s, sf)).select("level", "label", F.round(evaluate.f1(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("f1")))
-_L = f"l AS (SELECT level, m.f AS macro_f1, coalesce(s.severe / m.fakes, 0)::DOUBLE AS tau, s.brier FROM (SELECT level, avg({_F1})::DOUBLE AS f, sum(support) FILTER (WHERE label = 'inventada') AS fakes FROM c WHERE support > 0 GROUP BY level) m JOIN (SELECT level, sum(severe) AS severe, avg(brier) AS brier FROM r GROUP BY level) s USING (level))"
+query("f1_by_class", f"{_O} SELECT level, label, round(({_F1})::DOUBLE, 9) AS f1 FROM c")(lambda s, sf: evaluate.confusion(outcomes(s, sf)).select("level", "label", F.round(evaluate.f1(F.col("tp"), F.col("fp"), F.col("fn")), 9).alias("f1")))
+_L = f"l AS (SELECT level, z.f AS macro_f1, coalesce(v.severe / z.fakes, 0)::DOUBLE AS tau, v.brier FROM (SELECT level, avg({_F1})::DOUBLE AS f, sum(support) FILTER (WHERE label = 'inventada') AS fakes FROM c WHERE support > 0 GROUP BY level) z JOIN (SELECT level, sum(severe) AS severe, avg(brier) AS brier FROM r GROUP BY level) v USING (level))"
 _SC = "macro_f1 * (1 - 0.5 * tau) * (1 + CASE WHEN brier IS NULL THEN 0 ELSE greatest(0, least(0.1, 0.1 * (1 - brier))) END)"
 
 
-@query("macro_score", f"WITH {_O}, {_L} SELECT level, round(macro_f1, 9) AS macro_f1, round(tau, 9) AS tau, round(brier, 9) AS brier, round({_SC}, 9) AS score FROM l")
+@query("macro_score", f"{_O}, {_L} SELECT level, round(macro_f1, 9) AS macro_f1, round(tau, 9) AS tau, round(brier, 9) AS brier, round({_SC}, 9) AS score FROM l")
 def macro_score(spark, sf):
-    return evaluate.level_scores(order_outcomes(spark, sf)).select("level", *(F.round(c, 9).alias(c) for c in ("macro_f1", "tau", "brier", "score")))
+    return evaluate.level_scores(outcomes(spark, sf)).select("level", *(F.round(c, 9).alias(c) for c in ("macro_f1", "tau", "brier", "score")))
+
+
+query("final_score", f"{_O}, {_L} SELECT round(sum(({_SC}) * level) / sum(level), 9) AS final_score FROM l")(lambda s, sf: evaluate.final_score(evaluate.level_scores(outcomes(s, sf))).select(F.round("final_score", 9).alias("final_score")))
+query("brier_by_class", f"{_O} SELECT level, label, round(avg(brier), 9) AS brier FROM r GROUP BY ALL")(lambda s, sf: outcomes(s, sf).groupBy("level", "label").agg(F.round(F.avg("brier"), 9).alias("brier")))
+_ALT = f"""{_W}, {_M}, {_D}, w AS (SELECT *, CASE WHEN same THEN 0 WHEN gl = 'inventada' AND pl = 'real' THEN 2 ELSE 1 END AS off FROM m),
+  r AS (SELECT level, gl AS label, same::INT AS tp, 0 AS fp, off AS fn FROM w UNION ALL SELECT level, pl, 0, off, 0 FROM w UNION ALL SELECT level, label, 0, 0, 1 FROM {_LOST} UNION ALL SELECT d.level, x.label, 0, 1, 0 FROM (SELECT * FROM {_MORE}) x JOIN d USING (doc)),
+  c AS (SELECT level, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM r GROUP BY ALL),
+  b AS (SELECT level, avg((conf - same::INT) ** 2) AS brier FROM m GROUP BY level),
+  e AS (SELECT level, (sum({_F1}) / 3)::DOUBLE AS macro_f1, any_value(brier) AS brier FROM c LEFT JOIN b USING (level) GROUP BY level)"""
 
 
-query("final_score", f"WITH {_O}, {_L} SELECT round(sum(({_SC}) * level) / sum(level), 9) AS final_score FROM l")(lambda s, sf: evaluate.final_score(evaluate.level_scores(order_outcomes(s, sf))).select(F.round("final_score", 9).alias("final_score")))
-query("brier_by_class", f"WITH {_O} SELECT level, label, round(avg(brier), 9) AS brier FROM r GROUP BY ALL")(lambda s, sf: order_outcomes(s, sf).groupBy("level", "label").agg(F.round(F.avg("brier"), 9).alias("brier")))
-query("double_penalty_f1", f"WITH {_O}, d AS (SELECT level, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn + CASE WHEN label = 'inventada' AND severe = 1 THEN severe ELSE 0 END) AS fn FROM r GROUP BY ALL) SELECT level, round((sum({_F1}) / 3)::DOUBLE, 9) AS macro_f1 FROM d GROUP BY level")(lambda s, sf: evaluate.double_penalty(order_outcomes(s, sf)).select("level", F.round("macro_f1", 9).alias("macro_f1")))
-query("scorer_level_overall", f"WITH {_O} SELECT level, sum(tp)::BIGINT AS tp, sum(support)::BIGINT AS support FROM r GROUP BY GROUPING SETS ((level), ())")(lambda s, sf: order_outcomes(s, sf).rollup("level").agg(F.sum("tp").cast("long").alias("tp"), F.sum("support").cast("long").alias("support")))
+@query("alternate_scores", f"{_ALT} SELECT level, round(macro_f1, 9) AS macro_f1, round(brier, 9) AS brier, round(0.1 * greatest(0, 1 - brier / 0.25), 9) AS bonus FROM e")
+def alternate_scores(spark, sf):
+    return evaluate.alternate_scores(*gold_pred(spark, sf)).select("level", *(F.round(c, 9).alias(c) for c in ("macro_f1", "brier", "bonus")))
+
+
+query("alternate_final", f"{_ALT} SELECT round(sum(macro_f1 * level) / sum(level), 9) AS final_score FROM e")(lambda s, sf: evaluate.alternate_final(evaluate.alternate_scores(*gold_pred(s, sf))).select(F.round("final_score", 9).alias("final_score")))
+_DIAG = "count(*) FILTER (WHERE side = 'g') AS gold, count(*) FILTER (WHERE side = 'p') AS pred, count(*) FILTER (WHERE side = 'm') AS matched, count(*) FILTER (WHERE side = 'm' AND same) AS class_right, count(*) FILTER (WHERE side = 'm' AND gl = 'real') AS links, count(*) FILTER (WHERE side = 'm' AND gl = 'real' AND linked) AS links_right"
+
+
+@query("diagnostic_report", f"{_W}, {_M}, {_D}, u AS (SELECT 'g' AS side, level, NULL::BOOLEAN AS same, NULL::VARCHAR AS gl, NULL::BOOLEAN AS linked FROM g UNION ALL SELECT 'p', d.level, NULL::BOOLEAN, NULL::VARCHAR, NULL::BOOLEAN FROM p JOIN d USING (doc) UNION ALL SELECT 'm', level, same, gl, linked FROM m), n AS (SELECT level, {_DIAG} FROM u GROUP BY GROUPING SETS ((level), ())) SELECT level, gold, pred, matched, class_right, links, links_right, round(matched / pred, 9) AS precision, round(matched / gold, 9) AS recall, round(class_right / matched, 9) AS class_accuracy, round(links_right / links, 9) AS link_accuracy FROM n")
+def diagnostic_report(spark, sf):
+    out = official.diagnose(*gold_pred(spark, sf))
+    return out.select(*out.columns[:7], *(F.round(c, 9).alias(c) for c in out.columns[7:]))
+
+
+query("class_confusions", f"{_W}, {_M} SELECT gl AS gold_label, pl AS pred_label, count(*) AS n FROM m GROUP BY ALL")(lambda s, sf: official.confusions(*gold_pred(s, sf)))
+
+
+@query("diagnostic_examples", f"""{_W}, {_M}, o AS (SELECT 'miss' AS kind, doc, start, label AS gold_label, CAST(NULL AS VARCHAR) AS pred_label, match FROM {_LOST} ORDER BY doc, start, match LIMIT 20),
+  x AS (SELECT 'extra' AS kind, doc, start, CAST(NULL AS VARCHAR) AS gold_label, label AS pred_label, match FROM {_MORE} ORDER BY doc, start, match LIMIT 20),
+  y AS (SELECT 'class' AS kind, doc, start, gl AS gold_label, pl AS pred_label, match FROM m WHERE NOT same ORDER BY doc, start, match LIMIT 30)
+  SELECT * FROM o UNION ALL SELECT * FROM x UNION ALL SELECT * FROM y""")
+def diagnostic_examples(spark, sf):
+    """The report's samples: 20 misses, 20 extras, 30 class errors."""
+    return official.examples(*gold_pred(spark, sf))
+
+
+_HIT = "SELECT doc, g, one_id, label, start, stop FROM g"
+
+
+@query("stress_report", f"{_W}, f AS (SELECT doc, g, arg_min(row(label, id), row(start, stop, label, id)) AS v FROM (SELECT i.doc, i.g, p.label, p.id, p.start, p.stop FROM i JOIN p ON p.doc = i.doc AND p.p = i.p WHERE iou >= 0.5) GROUP BY doc, g) SELECT count(*) AS n, round(avg((v IS NOT NULL)::INT), 9) AS span_recall, round(avg(CASE WHEN v IS NOT NULL THEN (v[1] = label)::INT END), 9) AS class_accuracy, round(avg(CASE WHEN v IS NOT NULL AND label = 'real' THEN (v[2] = one_id)::INT END), 9) AS link_accuracy FROM ({_HIT}) LEFT JOIN f USING (doc, g)")
+def stress_report(spark, sf):
+    return noise.stress_report(*gold_pred(spark, sf)).select("n", *(F.round(c, 9).alias(c) for c in ("span_recall", "class_accuracy", "link_accuracy")))
+
+
+def _numbered(cols: dict, n: str) -> dict:
+    """The spans numbered by place and label."""
+    return cols | {n: f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {cols['start']}, {cols['stop']}, {cols['label']}) - 1"}
+
+
+_BY_PLACE = f"WITH RECURSIVE g AS (SELECT {_SELECT(_numbered(GOLD, 'g'))} FROM lineitem), p AS (SELECT {_SELECT(_numbered(PRED, 'p'))} FROM lineitem WHERE {_KEPT}), {_I}, {_A}"
+
+
+@query("detection_report", f"{_BY_PLACE} SELECT (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM p) AS pred, count(*) AS matched, count(*) FILTER (WHERE g.label = p.label) AS type_right, round(count(*) / (SELECT count(*) FROM p), 9) AS precision, round(count(*) / (SELECT count(*) FROM g), 9) AS recall, round(2 * count(*) / ((SELECT count(*) FROM p) + (SELECT count(*) FROM g)), 9) AS f1 FROM a JOIN g ON a.doc = g.doc AND a.g = g.g JOIN p ON a.doc = p.doc AND a.p = p.p")
+def detection_report(spark, sf):
+    """Precision, recall and F1 of spans whose type is their label."""
+    g, p = gold_pred(spark, sf)
+    out = experiment.detection_report(*(d.select("doc", x, "start", "stop", F.col("label").alias("type")) for d, x in ((g, "g"), (p, "p"))))
+    return out.select(*out.columns[:4], *(F.round(c, 9).alias(c) for c in out.columns[4:]))
 
 
 @query("dedupe_keep_first", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
@@ -224,25 +251,35 @@ def dedupe_keep_first(spark, sf):
 query("missing_docs", "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")(lambda s, sf: evaluate.missing_docs(table(s, sf, "documents"), table(s, sf, "labels"), "doc_id"))
 
 
-@query("stratified_folds", "SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS fold FROM labels")
+@query("stratified_folds", "SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || '|42'), doc_id) - 1) % 5 AS fold FROM labels")
 def stratified_folds(spark, sf):
-    w = Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return table(spark, sf, "labels").select("doc_id", "quality", ((F.row_number().over(w) - 1) % 5).cast("long").alias("fold"))
+    return experiment.folds(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id")
 
 
-query("fold_summary", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread FROM events GROUP BY event_type")(lambda s, sf: table(s, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("spread")))
+@query("fold_summary", "SELECT event_type, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std FROM events GROUP BY event_type")
+def fold_summary(spark, sf):
+    return experiment.fold_summary(table(spark, sf, "events"), "event_type", ("value",)).select("event_type", F.round("value_mean", 6).alias("value_mean"), F.round("value_std", 6).alias("value_std"))
 
 
-@query("token_windows", "SELECT item_id, i AS first, array_to_string(w[i+1:i+4], ' ') AS win FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) t, (SELECT unnest(range(0, 10000)) AS i) n WHERE i <= len(w) - 4")
+@query("first_per_group", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR) || '|42'), event_id) AS r FROM events) WHERE r <= 3")
+def first_per_group(spark, sf):
+    """Few-shot examples: a given number of each group in hash order."""
+    return experiment.first_per(table(spark, sf, "events"), "event_type", 3, "event_id").select("event_type", "event_id")
+
+
+@query("token_windows", "SELECT item_id, k AS first, array_to_string(h[k + 1:k + 4], ' ') AS win, CAST(coalesce(list_sum(list_transform(g[1:k + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:k], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT item_id, h, g, unnest(range(0, len(h) - 3)) AS k FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS h, regexp_split_to_array(text, '\\S+') AS g FROM benchmark))")
 def token_windows(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w")).where(F.size("w") >= 4)
-    return b.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 4)).alias("i")).select("item_id", F.col("i").cast("long").alias("first"), F.array_join(F.slice("w", F.col("i") + 1, F.lit(4)), " ").alias("win"))
+    """Windows of four words with the place of the first."""
+    b = table(spark, sf, "benchmark").select("item_id", noise.words(F.col("text")).alias("w")).where(F.size("w") >= 4)
+    b = b.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 4)).alias("i"))
+    return b.select("item_id", F.col("i").cast("long").alias("first"), F.array_join(F.transform(F.slice("w", F.col("i") + 1, F.lit(4)), lambda x: x["match"]), " ").alias("win"), F.get("w", F.col("i"))["start"].cast("long").alias("start"))
 
 
-@query("span_substitute_shift", f"SELECT doc_id, substring(text, 1, start) || '<N>' || substring(text, CAST(stop + 1 AS BIGINT)) AS changed, 3 - (stop - start) AS shift FROM (SELECT * FROM {span_sql(DIGITS)} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) = 1) s JOIN documents USING (doc_id)")
+@query("span_substitute_shift", f"SELECT doc_id, substring(text, 1, start) || '<N>' || substring(text, CAST(stop + 1 AS BIGINT)) AS changed, length(text) + 3 - (stop - start) AS end_of_text FROM (SELECT * FROM {span_sql(DIGITS)} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start) = 1) s JOIN documents USING (doc_id)")
 def span_substitute_shift(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text", F.get(S.match_spans(F.col("text"), DIGITS), 0).alias("s")).where("s is not null")
-    return d.select("doc_id", F.concat(F.substring(F.col("text"), F.lit(1), F.col("s.start")), F.lit("<N>"), F.substring(F.col("text"), F.col("s.stop") + 1, F.length("text"))).alias("changed"), (3 - (F.col("s.stop") - F.col("s.start"))).cast("long").alias("shift"))
+    delta = 3 - (F.col("s.stop") - F.col("s.start"))
+    return d.select("doc_id", noise.substitute(F.col("text"), F.col("s.start"), F.col("s.stop"), F.lit("<N>")).alias("changed"), noise.shifted(F.length("text"), F.col("s.stop"), delta).cast("long").alias("end_of_text"))
 
 
 @query("encode_cells", f"SELECT doc_id AS documento_id, string_agg(start || ',' || stop || ',real,' || match || ',0.9700', '|' ORDER BY start) AS citacoes FROM {span_sql(DIGITS)} GROUP BY doc_id")
@@ -260,18 +297,107 @@ def parse_cells(spark, sf):
 @query("citation_cells")
 def citation_cells(spark, sf):
     """Extraction, index, lookups and cells in one plan; benchmark passages stand in for records."""
-    from quillon.operators.extraction import extract
-    from quillon.operators.resolve import assemble, build_index, resolve
-
     b = table(spark, sf, "benchmark")
     none = lambda t: F.lit(None).cast(t)
     records = b.select(F.col("item_id").alias("id"), none("string").alias("tribunal"), none("int").alias("ano"), none("string").alias("relator"), F.lit("acordao").alias("natureza"), F.col("text").alias("texto"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
-    rows = assemble(docs, resolve(extract(docs), build_index(records)))
+    rows = resolve.assemble(docs, resolve.resolve(extract(docs), resolve.build_index(records)))
     one = lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["label"].alias("label"), c["resolution"]["id_canonico"].alias("id"), c["conf"].alias("conf"))
     return rows.select(F.col("doc").alias("documento_id"), cells.encode(F.transform("citations", one)).alias("citacoes"))
 
 
+_SPANS = planted.spans_sql()
+_DOC = "CAST(k AS VARCHAR) AS doc"
+
+
+def planted_spans(spark, sf, *kinds):
+    found = extract(planted.documents(spark, sf)).where("error is null")
+    return found.where(F.col("kind").isin(*kinds)) if kinds else found
+
+
+def places(rows, *columns):
+    return rows.select("doc", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "match", *columns)
+
+
+def planted_sql(kinds: str, **columns: str) -> str:
+    return f"SELECT {_DOC}, start, stop, piece AS match" + "".join(f", {e} AS {n}" for n, e in columns.items()) + f" FROM {_SPANS} WHERE kind IN ({kinds})"
+
+
+query("citation_spans", planted_sql("'numero', 'cnj', 'sumula', 'artigo', 'relator_ano', 'tema'", kind="CASE kind WHEN 'cnj' THEN 'numero' ELSE kind END", type="CASE kind WHEN 'artigo' THEN 'lei' ELSE 'jurisprudencia' END"))(lambda s, sf: places(planted_spans(s, sf), "kind", "type"))
+query("extract_case_numbers", planted_sql("'numero', 'cnj'", digits=f"CASE kind WHEN 'cnj' THEN regexp_replace(piece, '[^0-9]', '', 'g') ELSE {planted._OWN} END"))(lambda s, sf: places(planted_spans(s, sf, "numero"), "digits"))
+query("extract_precedents", planted_sql("'sumula'", court=planted._COURT, number="CAST(k % 40 + 1 AS INT)"))(lambda s, sf: places(planted_spans(s, sf, "sumula"), "court", "number"))
+query("extract_topics", planted_sql("'tema'"))(lambda s, sf: places(planted_spans(s, sf, "tema")))
+query("extract_rapporteurs", planted_sql("'relator_ano'", court=planted._case("k", planted.COURTS), year="CAST(2000 + k % 20 AS INT)", rapporteur=planted._case("k", planted.PEOPLE)))(lambda s, sf: places(planted_spans(s, sf, "relator_ano"), "court", "year", "rapporteur"))
+query("extract_articles", planted_sql("'artigo'", article=f"CAST({planted._case('k', planted.ARTICLES, False)} AS INT)", clause=planted._CLAUSE))(lambda s, sf: places(planted_spans(s, sf, "artigo"), "article", "clause"))
+query("numbers_only", f"SELECT {_DOC}, start, stop FROM {_SPANS} WHERE kind IN ('numero', 'cnj', 'sumula')")(lambda s, sf: extract(planted.documents(s, sf), numbers_only=True).select("doc", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))
+
+_KEYS = "(SELECT o_orderkey AS k FROM orders)"
+query("own_numbers", f"SELECT k * 10 + 1 AS id, {planted._FILED} AS digits, {planted._case('k', planted.CLASSES)} || ' n. ' || {planted._dotted(planted._FILED)} || '/SP' AS snippet FROM {_KEYS} WHERE {planted._RECORD}")(lambda s, sf: resolve.build_index(planted.registry(s, sf))["numbers"])
+query("precedent_numbers", f"SELECT id, court, CAST(number AS INT) AS number FROM (SELECT k * 10 + 2 AS id, {planted._case('k', planted.COURTS)} AS court, CASE WHEN k % 15 NOT IN (0, 2) THEN k WHEN k % 5 = 0 THEN 10 ELSE 331 END AS number FROM {_KEYS} WHERE k <= 30)")(lambda s, sf: resolve.build_index(planted.registry(s, sf))["precedents"])
+query("provision_codes", f"SELECT CAST(id AS BIGINT) AS id, CAST(article AS INT) AS article, code FROM ({planted._LAWS})")(lambda s, sf: resolve.build_index(planted.registry(s, sf))["provisions"])
+
+
+def resolved(spark, sf, *kinds):
+    return resolve.resolve(planted_spans(spark, sf, *kinds), resolve.build_index(planted.registry(spark, sf)))
+
+
+def resolved_sql(*kinds: str) -> str:
+    one = lambda k: f"SELECT CAST(s.k AS VARCHAR) AS doc, s.start, s.stop, v.label, v.conf, CAST(v.id AS VARCHAR) AS id FROM {_SPANS} s JOIN ({planted.verdicts_sql(k)}) v ON s.k = v.k WHERE s.kind = '{k}'"
+    return " UNION ALL ".join(map(one, kinds))
+
+
+for _name, _kinds in {"resolve_by_number": ("numero", "cnj"), "resolve_rapporteur_year": ("relator_ano",), "resolve_precedent": ("sumula",), "resolve_article_code": ("artigo",), "resolve_topic": ("tema",), "resolve_all": ("numero", "cnj", "relator_ano", "sumula", "artigo", "tema")}.items():
+    query(_name, resolved_sql(*_kinds))(lambda s, sf, ks=_kinds: resolved(s, sf, *(k for k in ks if k != "cnj")).select("doc", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "label", "conf", "id"))
+
+
+@query("planted_cells", f"SELECT doc AS documento_id, string_agg(start || ',' || stop || ',' || label || ',' || coalesce(id, '-') || ',' || printf('%.4f', conf), '|' ORDER BY start) AS citacoes FROM ({resolved_sql('numero', 'cnj', 'relator_ano', 'sumula', 'artigo', 'tema')}) GROUP BY doc")
+def planted_cells(spark, sf):
+    """Texts to submission: extraction, lookups, nested documents and cells of the planted corpus in one plan."""
+    nested = resolve.assemble(planted.documents(spark, sf), resolved(spark, sf))
+    return files.submission(files.as_output(nested))
+
+
+_FAULTS = ["'5,9,real,007,0.5'", "'5,9,real,7'", "'5,x,real,7,0.5'", "'9,5,real,7,0.5'", "'5,9,talvez,7,0.5'", "'5,9,real,-,0.5'", "'5,9,real,a7,0.5'", "'5,9,inventada,-,1.5'", "'-'", "'0,10,REAL,7,-|1,10,inventada,-,0.2'"]
+_CELL = f"CASE o_orderkey % 10 {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(_FAULTS))} END"
+_ERRORS = ["NULL", "'field count'", "'not an integer'", "'inverted span'", "'unknown class'", "'real without id'", "'id is not a number'", "'confidence outside 0..1'", "NULL", "NULL"]
+
+
+@query("cell_errors", f"SELECT o_orderkey, CASE o_orderkey % 10 {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(_ERRORS))} END AS error, o_orderkey % 10 = 9 AS clash, CAST(CASE o_orderkey % 10 WHEN 8 THEN 0 WHEN 9 THEN 2 ELSE 1 END AS INT) AS n, CASE WHEN o_orderkey % 10 IN (0, 2, 3, 4, 7, 9) AND o_orderkey % 10 <> 7 THEN '7' WHEN o_orderkey % 10 = 1 THEN '7' WHEN o_orderkey % 10 = 6 THEN 'a7' END AS id FROM orders")
+def cell_errors(spark, sf):
+    """Faulty and valid cells of a submission."""
+    o = table(spark, sf, "orders").select("o_orderkey", cells.parse(F.expr(_CELL)).alias("s"))
+    first = F.get("s", F.lit(0))
+    return o.select("o_orderkey", first["error"].alias("error"), cells.clash(F.col("s")).alias("clash"), F.size("s").alias("n"), F.get(first["ids"], F.lit(0)).alias("id"))
+
+
+_GOLD_FAULTS = ["'0,5,real,7:012|5,9,incompleta,-'", "'0,5,real,-'", "'0,5,real,7,0.5'", "'0,5,real,7|4,9,real,8'", "''"]
+
+
+@query("gold_cell_errors", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'real without id' WHEN 2 THEN 'field count' END AS error, o_orderkey % 5 = 3 AS clash, CASE o_orderkey % 5 WHEN 0 THEN '7:12' WHEN 2 THEN '7' WHEN 3 THEN '7' END AS ids FROM orders")
+def gold_cell_errors(spark, sf):
+    cell = F.expr(f"CASE o_orderkey % 5 {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(_GOLD_FAULTS))} END")
+    o = table(spark, sf, "orders").select("o_orderkey", cells.parse(cell, gold=True).alias("s"))
+    first = F.get("s", F.lit(0))
+    return o.select("o_orderkey", first["error"].alias("error"), cells.clash(F.col("s"), gold=True).alias("clash"), F.nullif(F.array_join(first["ids"], ":"), F.lit("")).alias("ids"))
+
+
+_PHRASE = planted._case("o_orderkey", [p for p, _ in phrases.PHRASES])
+_SPOKEN = f"(CASE WHEN o_orderkey % 2 = 0 THEN {_PHRASE} ELSE replace(upper(substring({_PHRASE}, 1, 1)) || substring({_PHRASE}, 2), 'ã', 'a') END)"
+
+
+@query("phrase_spans", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc, CAST(length('Segundo ') AS INT) AS start, CAST(length('Segundo ' || {_SPOKEN}) AS INT) AS stop, {_PHRASE} AS phrase FROM orders")
+def phrase_spans(spark, sf):
+    """Vague phrases, half of them with a capital and without tildes, one in the text of each order."""
+    docs = table(spark, sf, "orders").selectExpr("CAST(o_orderkey AS STRING) AS doc", f"'Segundo ' || {_SPOKEN} || ' 12.3 x (y).' AS text")
+    return phrases.phrase_spans(docs).select("doc", "start", "stop", "phrase")
+
+
+@query("phrase_spans_documents")
+def phrase_spans_documents(spark, sf):
+    """Vague phrases of every whole document; the ratio has no SQL form, and tests hold it against a plain search."""
+    return phrases.phrase_spans(table(spark, sf, "documents"), key="doc_id")
+
+
 @query("number_styles", "SELECT o_orderkey, style, CASE style WHEN 0 THEN d WHEN 1 THEN format('{:t.}', o_orderkey * 1009) WHEN 2 THEN format('{:t }', o_orderkey * 1009) ELSE regexp_replace(format('{:t.}', o_orderkey * 1009), '[.]([^.]*)$', '. \\1') END AS styled FROM (SELECT o_orderkey, CAST(o_orderkey * 1009 AS VARCHAR) AS d FROM orders), (SELECT unnest(range(4)) AS style)")
 def number_styles(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("style"))
@@ -309,10 +435,8 @@ def noisy_variants(spark, sf):
 @query("nested_output_json", f"SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n, coalesce(m, '') AS matches FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(match, ',' ORDER BY start) AS m FROM {span_sql(DIGITS)} GROUP BY doc_id) x USING (doc_id)")
 def nested_output_json(spark, sf):
     """Nested documents through their JSON form and back."""
-    from quillon.operators.resolve import assemble
-
     found = span_rows(spark, sf, DIGITS).select(F.col("doc_id").cast("string").alias("doc"), "start", "stop", "match", F.lit("jurisprudencia").alias("type"), F.lit("real").alias("label"), F.lit(0.97).alias("conf"), F.col("match").alias("id"))
-    out = files.as_output(assemble(table(spark, sf, "documents"), found, "doc_id"))
+    out = files.as_output(resolve.assemble(table(spark, sf, "documents"), found, "doc_id"))
     back = out.select(F.from_json(F.to_json(F.struct("*")), files.PREDICTION).alias("j")).select("j.*")
     return back.select(F.col("documento_id").cast("long").alias("doc_id"), F.size("citacoes").cast("long").alias("n"), F.array_join("citacoes.trecho", ",").alias("matches"))
 
