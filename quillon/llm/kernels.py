@@ -12,9 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15
-_PI = pow(_P, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_POWERS: dict[int, list[np.ndarray]] = {k: [np.ones(1, U), np.ones(1, U)] for k in range(len(_BASES))}
 
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -33,28 +32,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """p**i and p**-i modulo 2**64 for i < n, of one of the bases p."""
+    held = _POWERS[base]
+    if len(held[0]) < n:
         size = max(n, 1 << 20)
-        for k, base in enumerate((_P, _PI)):
-            a = np.full(size, base, U)
+        for k, p in enumerate((_BASES[base], pow(_BASES[base], -1, 1 << 64))):
+            a = np.full(size, p, U)
             a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
-    return _POWERS[0][:n], _POWERS[1][:n]
+            held[k] = np.multiply.accumulate(a)
+    return held[0][:n], held[1][:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, base: int = 0) -> np.ndarray:
     """H with H[j] - H[i] = sum of (byte + 1) * p**position over i..j-1, modulo 2**64."""
-    pw, _ = powers(len(data))
+    pw, _ = powers(len(data), base)
     out = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * pw, out=out[1:])
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
     """Position-independent hash of each byte range."""
-    _, inv = powers(len(prefix))
+    _, inv = powers(len(prefix), base)
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
