@@ -109,8 +109,8 @@ def test_keep_one(docs):
     assert len(kept) == len(set(kept)) and set(jaccard_join.keep_one(docs, 5, 80).columns) == set(docs.columns)
 
 
-@pytest.mark.parametrize("size,gram", [(60, 20), (60, 60), (10, 3)])
-def test_repeats(spark, docs, size, gram):
+@pytest.mark.parametrize("size,gram,local", [(60, 20, 1024), (60, 20, 3), (60, 60, 0), (10, 3, 1024), (5, 2, 20)])
+def test_repeats(spark, docs, size, gram, local):
     seen = collections.Counter()
     rows = [(i, (t or "").encode()) for i, t in enumerate(TEXTS)] + [(12, TEXTS[12].encode())] * 2
     for _, t in rows:
@@ -123,10 +123,43 @@ def test_repeats(spark, docs, size, gram):
                 drop[k : k + size] = [True] * size
         runs = sum(d and not (k and drop[k - 1]) for k, d in enumerate(drop))
         want.add((i, len(t), sum(drop), runs, hashlib.sha256(bytes(c for c, d in zip(t, drop) if not d)).hexdigest()))
-    assert {tuple(r) for r in repeats.remove_repeats(docs, size, gram).collect()} == want
+    assert {tuple(r) for r in repeats.remove_repeats(docs, size, gram, local).collect()} == want
     assert repeats.remove_repeats(empty(spark), size, gram).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 5, 8, 9, 24, 400])
+def test_suffix_ranks_follow_the_bytes(size):
+    rng = np.random.default_rng(size)
+    data = np.concatenate((rng.integers(97, 99, 900), np.tile(rng.integers(0, 256, 130), 5))).astype(np.uint8)
+    rank = repeats.suffix_ranks(data, size)[: len(data) - size + 1]
+    strings = [data[k : k + size].tobytes() for k in range(len(rank))]
+    order = {s: k for k, s in enumerate(sorted(set(strings)))}
+    plain = np.array([order[s] for s in strings])
+    assert (np.argsort(rank, kind="stable") == np.argsort(plain, kind="stable")).all() and len(set(rank.tolist())) == len(order)
+
+
+def test_repeats_at_400_bytes(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, text(900) + passage[: 380 + i] + text(500)) for i in range(60)] + [(100, passage * 6), (101, "é" * 500), (102, passage), (102, passage), (None, text(300)), (103, None)]
+    seen = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[k : k + 400] for k in range(len(b) - 399))
+    want = collections.Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        drop = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                drop[k : k + 400] = True
+        want[i, int(drop.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~drop].tobytes()).hexdigest()] += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit("x")).withColumn("found", F.lit(1))
+    for local in (1024, 8):
+        assert collections.Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(d, local=local).collect()) == want
+
+
 def test_quality(spark, docs, labels):
     got = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
     for i, t in enumerate(TEXTS):
@@ -332,25 +365,51 @@ def test_automaton_equals_globs():
         assert [bool(r.fullmatch(u)) for u in urls] == got[:, g].tolist(), glob
 
 
+def plain_neighbours(rows, k=5):
+    """(query's place, [(score, vec_id)]) of every row whose vec_id is divisible by 50, by comparison with all rows."""
+    out = []
+    ok = [(i, v, np.array(x, np.float32).astype(float)) for i, (v, x) in enumerate(rows) if v is not None and x and None not in x and np.isfinite(x).all() and any(x)]
+    for i, v, x in ok:
+        if v % 50 == 0:
+            near = [(-(x @ y) / np.linalg.norm(x) / np.linalg.norm(y), w) for j, w, y in ok if j != i and len(y) == len(x)]
+            out.append((v, sorted((round(s, 9), w) for s, w in near)[:k]))
+    return out
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((3000, 64))
     x[7] = x[8] = x[50]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 64), (5100, [float("nan")] * 64), (5150, [None] * 64), (5200, []), (None, [1.0] * 64)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0))
-    got = neighbours.search(df, F.col("vec_id") % 50 == 0, block=2000).toPandas()
-    y = x.astype(np.float32).astype(float)
-    u = y / np.linalg.norm(y, axis=1)[:, None]
-    near = u[::50] @ u.T
-    near[np.arange(60), np.arange(0, 3000, 50)] = -9
-    hits = sum(r.score >= np.sort(near[r.query_id // 50])[-5] - 1e-9 for r in got.itertuples())
-    assert len(got) == 300 and hits / 300 >= 0.9
-    assert got[(got.query_id == 50)].sort_values("rank").vec_id.tolist()[:2] == [7, 8]
-    assert np.allclose(got.score, [near[r.query_id // 50, r.vec_id] for r in got.itertuples()])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 64), (5100, [float("nan")] * 64), (5150, [None] * 64), (5200, []), (None, [1.0] * 64), (5250, [1.0, 2.0]), (5251, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(0)).withColumn("uid", F.lit("u")).withColumn("query", F.lit(1))
+    want = {v: near for v, near in plain_neighbours(rows)}
+    for options in ({"bucket_rows": 64}, {"bucket_rows": 256, "block": 40, "query_block": 3}):  # buckets as they are, and cut
+        got = neighbours.search(df, F.col("vec_id") % 50 == 0, **options).toPandas()
+        assert len(got) == 301 and (got.groupby("query_id")["rank"].max().drop(5250) == 5).all()
+        hits = sum(round(-r.score, 9) <= want[r.query_id][-1][0] for r in got.itertuples())
+        assert hits / 301 >= 0.9
+        assert got[got.query_id == 50].sort_values("rank").vec_id.tolist()[:2] == [7, 8]
+        assert got[got.query_id == 5250].vec_id.tolist() == [5251]
     assert neighbours.search(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).count() == 2
     assert neighbours.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_with_repeated_rows(spark):
+    rows = [(7 if i in (3, 4, 5, 6) else i, [i + 1.0, 1.0, i % 3.0]) for i in range(15)] + [(0, [1.0, 1.0, 0.0]), (50, [1e200, 1e200, 0.0]), (51, [1e-200, 2e-200, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in neighbours.search(d, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    x = {v: y for v, y in rows}
+    unit = [(v, np.array(y) / max(y) / np.linalg.norm(np.array(y) / max(y))) for v, y in rows]
+    for q in (0, 50):
+        own = next(i for i, (v, _) in enumerate(rows) if v == q)
+        near = sorted((-round(float(unit[own][1] @ u), 9), v) for i, (v, u) in enumerate(unit) if i != own)[:5]
+        copies = 2 if q == 0 else 1
+        assert sorted(got[q]) == sorted([(k + 1, v) for k, (_, v) in enumerate(near)] * copies)
+    assert len(x) < len(rows)
+
+
 def test_language(spark):
     rng = random.Random(3)
     syllables = {"xx": "ka to mi ru se".split(), "yy": "bren dolt grim stru".split(), "zz": "é ou eau oi".split()}
