@@ -16,29 +16,15 @@ from pyspark.sql import functions as F
 
 from quillon.functions.spans import claim
 from quillon.operators.evaluate import align, iou_pairs, precision_recall
-from quillon.operators.noise import words
+from quillon.operators.noise import dealt, hash_order, words
 
 NEGATIVE = "negativo"
 SIZES = (4, 10)
 
 
-def hash_order(key: str, seed: int) -> Column:
-    """A sign that orders keys by chance, the same in every engine."""
-    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
-
-
 def folds(docs: DataFrame, level: str, key: str, n: int = 5, seed: int = 42) -> DataFrame:
-    """``docs`` with fold 0..n-1: each level dealt out in hash order, so folds differ by one document at most.
-
-    Ranks are counted within the first two signs of the hash and moved on by what precedes these, so a level is no task.
-    """
-    rows = docs.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 2))
-    sizes = rows.groupBy(F.col(level).alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = F.sum("_n").over(Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_l", "_c", F.coalesce(ahead, F.lit(0)).alias("_ahead"))  # at most 256 rows a level
-    rank = F.row_number().over(Window.partitionBy(level, "_b").orderBy("_h", key)) - 1
-    out = rows.withColumn("_r", rank).join(sizes, F.col(level).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
-    return out.select(*docs.columns, ((F.col("_r") + F.col("_ahead")) % n).cast("long").alias("fold"))
+    """``docs`` with fold 0..n-1: each level dealt out in hash order, so folds differ by one document at most."""
+    return dealt(docs, level, key, seed).select(*docs.columns, (F.col("rank") % n).cast("long").alias("fold"))
 
 
 def first_per(rows: DataFrame, group: str, most: int, key: str, seed: int = 42) -> DataFrame:

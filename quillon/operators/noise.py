@@ -172,14 +172,70 @@ def training_windows(docs: DataFrame, gold: DataFrame, seed: int = 42) -> DataFr
     return vague.unionByName(negative_windows(docs, gold, seed=seed).select("doc", F.col("match").alias("window_text"), F.lit("negativo").alias("label")))
 
 
-def synthetic_instances(docs: DataFrame, gold: DataFrame, paraphrases: DataFrame, seed: int = 42) -> DataFrame:
-    """(instance_id, doc, text, start, stop, kind, original, delta): each vague span in turn replaced by each paraphrase of it, half of them lightly noisy.
+def hash_order(key: str, seed: int) -> Column:
+    """A sign that orders keys by chance, the same in every engine."""
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
 
-    paraphrases: original, paraphrase. Other spans of the document move by ``shifted(offset, stop_before, delta)``.
+
+def dealt(rows: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
+    """``rows`` with their rank (from 0) in the hash order of ``key`` within their group, and the size of the group.
+
+    Ranks are counted within the first two signs of the hash and moved on by what precedes these, so a group is no task.
+    """
+    marked = rows.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 2))
+    sizes = marked.groupBy(F.col(group).alias("_l"), F.col("_b").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    group_of = Window.partitionBy("_l")
+    ahead = F.sum("_n").over(group_of.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_l", "_c", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_n").over(group_of).alias("_all"))  # at most 256 rows a group
+    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", key)) - 1
+    out = marked.withColumn("_r", inside).join(sizes, F.col(group).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    return out.select(*rows.columns, (F.col("_r") + F.col("_ahead")).alias("rank"), F.col("_all").alias("size"))
+
+
+def stress_instances(docs: DataFrame, gold: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """(doc, text, g, start, stop, label, ids): every gold span with a digit in ``n`` noisy forms, each in a copy of its document."""
+    rows = gold.select("doc", "g", "start", "stop", "label", "ids").join(docs.select("doc", "text"), "doc")
+    real = F.substring(F.col("text"), F.col("start") + 1, F.col("stop") - F.col("start"))
+    rows = rows.withColumn("match", real).where(F.col("match").rlike("[0-9]")).withColumn("key", F.xxhash64("doc", "start"))
+    noisy = variants(rows, n, seed=seed)
+    name = F.concat_ws("#", "doc", F.col("g").cast("string"), F.col("variant").cast("string"))
+    return noisy.select(name.alias("doc"), substitute(F.col("text"), F.col("start"), F.col("stop"), F.col("noisy")).alias("text"), "g", "start", (F.col("start") + F.length("noisy")).alias("stop"), "label", "ids")
+
+
+_VAGUE = "array<struct<inicio:int,fim:int,tipo:string>>"
+
+
+def instances(docs: DataFrame, gold: DataFrame, paraphrases: DataFrame, seed: int = 42) -> DataFrame:
+    """(instance_id, base_doc_id, nivel, text, vago_citations, kind, original_phrase): every document as it is, and for each
+    paraphrase one document in which it takes the place of a vague span of its type, drawn by hash; half of the paraphrases
+    are lightly noisy, and the other vague spans of that document move.
+
+    paraphrases: original, paraphrase, type.
     """
-    vague = gold.where(is_vague(F.col("label"), F.col("match"))).select("doc", F.col("start").alias("s"), F.col("stop").alias("e"), F.col("match").alias("original"))
-    rows = vague.join(paraphrases, "original").join(docs.select("doc", "text"), "doc")
-    key = F.xxhash64("doc", "s", "paraphrase")
-    by = F.when(draw(key, seed, "noisy") < 0.5, light(F.col("paraphrase"), key, seed)).otherwise(F.col("paraphrase"))
-    rows = rows.withColumn("by", by)
-    return rows.select(F.concat_ws("_", "doc", "s", F.hex(key)).alias("instance_id"), "doc", substitute(F.col("text"), F.col("s"), F.col("e"), F.col("by")).alias("text"), F.col("s").alias("start"), (F.col("s") + F.length("by")).alias("stop"), F.lit("synthetic").alias("kind"), "original", (F.length("by") - (F.col("e") - F.col("s"))).alias("delta"))
+    vague = gold.where(is_vague(F.col("label"), F.col("match")))
+    item = F.struct(F.col("start").cast("int").alias("inicio"), F.col("stop").cast("int").alias("fim"), F.col("type").alias("tipo"))
+    lists = vague.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("vague"))  # spans of one document
+    levels = gold.groupBy("doc").agg(F.min("level").cast("string").alias("nivel"))
+    whole = docs.select("doc", "text").join(lists, "doc", "left").join(levels, "doc", "left").withColumn("vague", F.coalesce("vague", F.array().cast(_VAGUE)))
+    none = F.lit(None).cast("string")
+    real = whole.select(F.col("doc").alias("instance_id"), F.col("doc").alias("base_doc_id"), "nivel", "text", F.col("vague").alias("vago_citations"), F.lit("real").alias("kind"), none.alias("original_phrase"))
+
+    targets = dealt(vague.select("doc", "start", "stop", "type", F.concat_ws("|", "doc", F.col("start").cast("string")).alias("k")), "type", "k", seed).drop("k")
+    drawn = paraphrases.join(targets.groupBy("type").agg(F.first("size").alias("n")), "type")
+    drawn = drawn.withColumn("rank", pick(F.col("n"), F.col("paraphrase"), seed, "target").cast("long")).drop("n")
+    rows = drawn.join(targets, ["type", "rank"]).join(whole, "doc")
+    key = F.xxhash64("paraphrase", F.lit(seed))
+    by = F.when(draw(key, "noisy") < 0.5, light(F.col("paraphrase"), key, seed)).otherwise(F.col("paraphrase"))
+    rows = rows.withColumn("by", by).withColumn("delta", F.length("by") - (F.col("stop") - F.col("start")))
+    move = lambda x: F.struct(shifted(x["inicio"], F.col("stop"), F.col("delta")).cast("int").alias("inicio"), shifted(x["fim"], F.col("stop"), F.col("delta")).cast("int").alias("fim"), x["tipo"].alias("tipo"))
+    new = F.struct(F.col("start").cast("int").alias("inicio"), (F.col("start") + F.length("by")).cast("int").alias("fim"), F.col("type").alias("tipo"))
+    others = F.transform(F.filter("vague", lambda x: (x["inicio"] >= F.col("stop")) | (x["fim"] <= F.col("start"))), move)
+    made = rows.select(F.concat_ws("_", F.lit("synth"), "doc", F.col("start").cast("string"), F.hex(key)).alias("instance_id"), F.col("doc").alias("base_doc_id"), "nivel", substitute(F.col("text"), F.col("start"), F.col("stop"), F.col("by")).alias("text"), F.concat(F.array(new), others).cast(_VAGUE).alias("vago_citations"), F.lit("synthetic").alias("kind"), F.col("original").alias("original_phrase"))
+    return real.unionByName(made)
+
+
+def instance_windows(made: DataFrame) -> DataFrame:
+    """(base_doc_id, window_text, label): the phrase that each synthetic instance was given."""
+    one = F.get("vago_citations", F.lit(0))
+    text = F.substring(F.col("text"), one["inicio"] + 1, one["fim"] - one["inicio"])
+    return made.where("kind = 'synthetic'").select("base_doc_id", text.alias("window_text"), F.concat(F.lit("vago_"), one["tipo"]).alias("label"))

@@ -79,9 +79,23 @@ def test_windows(spark):
     rows = N.negative_windows(docs, gold).collect()
     assert len(rows) == 8 and all(r["start"] >= 40 and text[r["start"] : r["stop"]] == r["match"] and 4 <= len(r["match"].split()) <= 10 for r in rows)
     assert {r["label"] for r in N.training_windows(docs, gold).collect()} == {"negativo", "vago_lei"}
-    para = spark.createDataFrame([("vaga de fato", "bem vaga mesmo")], "original string, paraphrase string")
-    (s,) = N.synthetic_instances(docs, gold, para).collect()
-    assert s["text"].endswith(text[40:]) and len(s["text"]) == len(text) + s["delta"]
+    more = gold.union(spark.createDataFrame([("a", 1, 50, 60, text[50:60], "lei", "real", ["7"]), ("a", 2, 70, 80, "outra vaga", "lei", "incompleta", [])], gold.schema)).withColumn("level", F.lit(2))
+    para = spark.createDataFrame([("vaga de fato", f"bem vaga mesmo {c}", t) for c, t in (("a", "lei"), ("b", "lei"), ("c", "lei"), ("d", "outro"))], "original string, paraphrase string, type string")
+    made = {r["instance_id"]: r for r in N.instances(docs, more, para).collect()}
+    assert [made[d]["text"] for d in "abc"] == [text, "curto demais", None] and len(made["a"]["vago_citations"]) == 2 and made["b"]["nivel"] is None
+    synthetic = [r for r in made.values() if r["kind"] == "synthetic"]
+    assert len(synthetic) == 3 and {r["nivel"] for r in synthetic} == {"2"}
+    for r in synthetic:
+        first, other = r["vago_citations"]
+        delta = len(r["text"]) - len(text)
+        assert len(first["tipo"]) == 3 and "vag" in r["text"][first["inicio"] : first["fim"]].replace("rn", "m")
+        cut = (0, 40) if first["inicio"] == 0 else (70, 80)
+        assert r["text"] == text[: cut[0]] + r["text"][first["inicio"] : first["fim"]] + text[cut[1] :]
+        assert (other["inicio"], other["fim"]) == ((70 + delta, 80 + delta) if cut[0] == 0 else (0, 40))
+    assert {r["label"] for r in N.instance_windows(N.instances(docs, more, para)).collect()} == {"vago_lei"}
+    stress = N.stress_instances(docs, more, 4).collect()
+    assert len(stress) == 12 and all(r["text"][: r["start"]] == text[: r["start"]] for r in stress)
+    assert all(len(r["text"]) - len(text) == r["stop"] - {0: 40, 1: 60, 2: 80}[r["g"]] for r in stress)
     pred = spark.createDataFrame([("a", 0, 39, "real", "7")], "doc string, start int, stop int, label string, id string")
     assert tuple(N.stress_report(gold, pred).first()) == (1, 1.0, 0.0, None)
 

@@ -60,7 +60,14 @@ def test_command_line(spark, place, capsys, monkeypatch):
     # levels 1 and 2, one class each, all right: 1 + 0.1 (1 - Brier), weights 1 and 2
     want = ((1 + 0.1 * (1 - 0.03**2)) + 2 * (1 + 0.1 * (1 - 0.12**2))) / 3
     assert float(capsys.readouterr().out) == pytest.approx(want, abs=1e-6)
-    assert cli.main(["diagnose", p("json"), p("gold.csv")]) == 0 and cli.main(["stress", p("json"), p("gold.csv")]) == 0
+    assert len(list((place / "sub").glob("part-*.csv"))) == 1
+    assert cli.main(["cells", p("txt"), p("base.db"), p("cells")]) == 0
+    assert {r["documento_id"]: r["citacoes"] for r in files.read_submission(spark, p("cells")).collect()} == rows
+    assert cli.main(["diagnose", p("json"), p("gold.csv")]) == 0
+    noisy = cli.stress(spark, p("txt"), p("index"), p("gold.csv"), 6).first()
+    assert noisy["n"] == 12 and noisy["span_recall"] > 0.6 and noisy["class_accuracy"] > 0.6
+    assert cli.main(["stress", p("txt"), p("index"), p("gold.csv"), "-n", "1"]) == 0
+    assert cli.main(["unseen"]) == 0 and [x[1:] for x in cli.unseen()] == [(True, False)] * 9
     assert cli.main(["run", p("nowhere"), p("index"), p("x")]) == 1 and cli.main(["run", p("txt"), p("nowhere.db"), p("x")]) == 1
     assert files.load_index(spark, p("txt")) is None
 
@@ -87,6 +94,35 @@ def test_faults(spark):
             official.score(sol.withColumn("citacoes", F.lit(cell)), sub("-"))
 
 
+def test_first_of_repeated_rows_counts(spark, tmp_path):
+    sol = spark.createDataFrame([("a", 1, "0,5,real,1"), ("b", 1, "0,5,real,2")], "documento_id string, nivel int, citacoes string")
+    (tmp_path / "sub.csv").write_text('documento_id,citacoes\na,"0,5,real,1,-"\nb,"0,5,real,2,-"\na,"-"\nb,"0,5,inventada,-,-"\n')
+    assert official.score(sol, files.read_submission(spark, str(tmp_path / "sub.csv"))) == 1.0
+
+
+def test_experiment_commands(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    texts = tmp_path / "txt"
+    texts.mkdir()
+    lines = ["nivel,documento_id,citacao_id,inicio,fim,trecho,tipo,classificacao,id_canonico"]
+    for i in range(12):
+        kind, phrase = (("lei", "normas de regência da matéria") if i % 2 else ("jurisprudencia", "jurisprudência pacífica desta Corte"))
+        text = f"vamos falar de outra coisa qualquer sem valor {phrase} para encerrar o assunto deste dia de sessao numero {'x' * i}"
+        (texts / f"d{i}.txt").write_text(text)
+        lines.append(f"{1 + i % 2},d{i},g1,{text.index(phrase)},{text.index(phrase) + len(phrase)},{phrase},{kind},incompleta,")
+    (tmp_path / "gold.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "para.jsonl").write_text('{"original": "normas de regência da matéria", "paraphrase": "regras que valem para o tema", "type": "lei", "ord": 0}\n{"original": "x", "paraphrase": "curta", "type": "lei", "ord": 1}\n')
+    p = lambda n: str(tmp_path / n)
+    assert cli.main(["augment", p("txt"), p("gold.csv"), p("para.jsonl"), p("aug")]) == 0
+    made = spark.read.json(p("aug/instances"))
+    assert made.count() == 13 and made.where("kind = 'synthetic'").count() == 1
+    assert {r["label"] for r in spark.read.json(p("aug/training_windows")).select("label").distinct().collect()} == {"negativo", "vago_lei", "vago_jurisprudencia"}
+    assert cli.main(["experiment", p("aug"), p("res"), "-n", "2"]) == 0
+    rows = spark.read.option("header", True).csv(p("res/results")).collect()
+    assert [(r["method"], r["fold"]) for r in rows] == [("learned", "0"), ("learned", "1"), ("phrases", "0"), ("phrases", "1")]
+    assert all(len(r["f1"].split(".")[1]) == 4 for r in rows) and "phrases" in "".join(r[0] for r in spark.read.text(p("res/report")).collect())
+
+
 def test_stream(spark, place):
     index = build_index(read_registry(spark, str(place / "base.db")))
     for _ in range(2):  # nothing new the second time
