@@ -9,6 +9,8 @@ soon as it is written; its folder goes when the driver ends, or earlier by ``dro
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one operator call. ``table`` writes and rereads; ``drop`` frees one that nothing reads any more."""
 
+    _open: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
+        Scratch._open.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -68,3 +73,15 @@ class Scratch:
         """Delete every table of this call, once its result is written elsewhere."""
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Within it the result of operators is written; their own tables go at its end."""
+    mark = len(Scratch._open)
+    try:
+        yield
+    finally:
+        for made in Scratch._open[mark:]:
+            made.close()
+        del Scratch._open[mark:]
