@@ -396,7 +396,7 @@ def keep_one(docs: DataFrame, size: int = 3, percent: int = 90, small: int = 24,
     empty = found.where("component is null").groupBy("doc_id", "mark").agg(F.lit(1).cast("long").alias("copies")).toDF("its_id", "its_mark", "copies")
     keep = copies.unionByName(empty)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("its_id")) & (F.xxhash64(text) == F.col("its_mark"))
-    rows = docs.join(keep.hint("shuffle_hash"), same)
-    repeated = rows.where("copies > 1").select("its_id", "its_mark", F.struct(*docs.columns).alias("row")).dropDuplicates(["its_id", "its_mark"])
-    return rows.where("copies = 1").select(*docs.columns).unionByName(repeated.select("row.*"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.struct(*docs.columns).alias("row"))
+    rows = packed.join(keep.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
+    repeated = rows.where("copies > 1").select("its_id", "its_mark", "row").dropDuplicates(["its_id", "its_mark"])
+    return rows.where("copies = 1").select("row.*").unionByName(repeated.select("row.*"))
