@@ -242,7 +242,7 @@ def repeated_ranges(docs: DataFrame, size: int, gram: int, local: int, salts: in
 
 
 def remove_repeats(docs: DataFrame, size: int = 400, gram: int = GRAM, local: int = 1024, salts: int = 4) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; further n_kept (bytes that remain) and has_repeats.
 
     local: phrases of triggers that a task ranks at a time; salts: tasks among which a repeated phrase or string is spread.
     """
@@ -259,8 +259,7 @@ def remove_repeats(docs: DataFrame, size: int = 400, gram: int = GRAM, local: in
                 part = batch.slice(k, 256)
                 texts_ = [t.as_py().encode() for t in part.column(1)]
                 out = [cut(t, lo or [], hi or []) for t, lo, hi in zip(texts_, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                n = len(out)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts_], pa.int64()), *(pa.array([o[c] for o in out], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string())))] if n else [], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts_], pa.int64()), *(pa.array([o[c] for o in out], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))), pa.array([len(t) - o[0] for t, o in zip(texts_, out, strict=True)], pa.int64()), pa.array([o[0] > 0 for o in out], pa.bool_())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "has_repeats"])
 
     joined = texts.join(lists.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "los", "his")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, has_repeats boolean")

@@ -59,8 +59,10 @@ class Automaton:
             w, bit = k >> 6, W(1) << W(k & 63)
             if first:
                 self.start[w] |= bit
-            elif byte is None:
-                self.enter[:, w] |= bit
+            elif byte is None:  # a character: its first byte enters the state, those that follow stay
+                self.enter[:0x80, w] |= bit
+                self.enter[0xC0:, w] |= bit
+                self.stays[0x80:0xC0, w] |= bit
             else:
                 self.enter[byte[0], w] |= bit
             if star:
