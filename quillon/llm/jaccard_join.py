@@ -15,9 +15,11 @@ table of fixed size: where shingles share a counter they are only thought more f
 Candidates. Every signature is filed under its pivot, the set of it that hashes least, and each set once under each of
 its pivots, so two sets that share a signature meet under that signature's pivot. Near copies share hundreds of
 signatures but few pivots: a group of thousands costs rows in proportion to its size. Sets of a small pivot group go on
-only where folded bucket counts don't already bound the shared shingles of a pair too low (the bound is exact); a large
-group is cut into blocks of bounded size, and each pair of blocks is verified by one matrix product of its sets. What
-leaves a block is a spanning star of each linked part, never its pairs.
+only where folded bucket counts don't already bound the shared shingles of a pair too low (the bound is exact); a larger
+group is verified by one matrix product of its sets, and what leaves it is a spanning star of each linked part, never its
+pairs. A group beyond a block of bounded size is first held against a few of its sets, which ties a tight group together
+at a cost in proportion to its size; then it is cut into blocks by the parts so found, and only pairs of blocks that may
+still hold an unknown link are verified, none within one part.
 
 A document is known by its doc_id and a hash of its text, so rows without doc_id and different texts under one doc_id link
 like any others; a text fetched for verification is hashed to its set again before it counts.
@@ -309,10 +311,10 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
                     for c in range(0, len(places), 64):
                         part = places[c : c + 64]
                         n = len(part)
-                        cols = [pa.array([x[f] for x in part], t) for f, t in (("pivot", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("left", pa.bool_()), ("right", pa.bool_()))]
+                        cols = [pa.array([x[f] for x in part], t) for f, t in (("pivot", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("left", pa.bool_()), ("right", pa.bool_()))]
                         yield pa.RecordBatch.from_arrays([*cols, pa.array([ids[i + k]] * n, pa.int64()), pa.array([body] * n, pa.binary())], ["pivot", "i", "j", "left", "right", "set_id", "body"])
 
-    seated = rows.mapInArrow(seat, "pivot long, i int, j int, left boolean, right boolean, set_id long, body binary")
+    seated = rows.mapInArrow(seat, "pivot long, i long, j long, left boolean, right boolean, set_id long, body binary")
 
     def check(table):
         ids = table.column("set_id").to_numpy()
@@ -335,7 +337,51 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
     return seated.groupBy("pivot", "i", "j").applyInArrow(check, "a long, b long")
 
 
-def linked_documents(docs: DataFrame, size: int, percent: int, small: int, block_sets: int, block_shingles: int, scratch: Scratch) -> DataFrame:
+def by_parts(seats: DataFrame, groups: DataFrame, verify, block_sets: int, block_shingles: int, heads: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """Of groups beyond a block: the links of every set with ``heads`` sets of its group, and the members of blocks to verify then.
+
+    Blocks hold sets of one part (as far as the links tie sets together) or of small parts; blocks of one part make no pair.
+    """
+    spot = lambda *c: F.xxhash64(*c)  # noqa: E731  names a block
+    big = seats.join(groups.where("blocks > 1").select("pivot", "blocks"), "pivot")
+    big = scratch.table(big.withColumn("mine", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks"))), "big")
+    if big.isEmpty():
+        return None
+    least = [F.min(F.struct(F.xxhash64("set_id", F.lit(100 + r)).alias("h"), "set_id")).alias(f"r{r}") for r in range(heads)]
+    chosen = big.groupBy("pivot", "blocks").agg(*least)
+    few = chosen.select("pivot", "blocks", F.explode(F.array_distinct(F.array(*(F.col(f"r{r}.set_id") for r in range(heads))))).alias("set_id"))
+    yes, no = F.lit(True), F.lit(False)
+    left = few.select("set_id", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"), yes.alias("left"), no.alias("right"))
+    right = big.select("set_id", "pivot", F.col("mine").alias("j"), no.alias("left"), yes.alias("right"))
+    both = left.union(right).groupBy("set_id", "pivot", "j").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    links = scratch.table(verify(scratch.table(both.select("set_id", "pivot", F.lit(-1).cast("long").alias("i"), "j", "left", "right"), "heads")), "head-links")
+
+    comp = scratch.table(components(links, scratch), "head-parts").withColumnRenamed("node", "set_id")
+    named = big.join(comp, "set_id", "left")
+    part = named.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
+    own = F.col("component").isNotNull() & (F.col("k") * 2 > block_sets)
+    part = scratch.table(part.select("pivot", "component", "k", "shingles", own.alias("own"), F.when(own, F.col("component")).otherwise(0).alias("cls")), "parts")
+    cuts = F.ceil(F.greatest(F.sum("k") / block_sets, F.sum("shingles") / block_shingles)).cast("long")
+    classes = scratch.table(part.groupBy("pivot", "own", "cls").agg(cuts.alias("cuts")), "classes")
+    same = (F.col("x.pivot") == F.col("y.pivot")) & F.col("x.component").eqNullSafe(F.col("y.component"))
+    placed = named.alias("x").join(part.alias("y"), same).select("x.pivot", "x.set_id", "y.own", "y.cls").join(classes, ["pivot", "own", "cls"])
+    placed = placed.select("pivot", "set_id", "own", "cls", F.pmod(F.xxhash64("set_id", F.lit(6)), F.col("cuts")).alias("cut"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    x, y = (classes.select("pivot", F.struct("own", "cls").alias(n), F.col("cuts").alias(f"{n}_cuts")) for n in ("x", "y"))
+    across = x.join(y, "pivot").where(F.col("x") < F.col("y")).withColumn("x_cut", each("x_cuts")).withColumn("y_cut", each("y_cuts"))
+    within = classes.where(~F.col("own")).select("pivot", F.struct("own", "cls").alias("x"), F.struct("own", "cls").alias("y"), each("cuts").alias("x_cut"), F.col("cuts").alias("y_cuts")).withColumn("y_cut", each("y_cuts")).where("x_cut <= y_cut")
+    cols = ["pivot", "x", "x_cut", "y", "y_cut"]
+    pairs = across.select(cols).union(within.select(cols))
+    pairs = scratch.table(pairs.select("*", spot("x", "x_cut").alias("i"), spot("y", "y_cut").alias("j")), "pairs")
+    seat = placed.select("pivot", "set_id", F.struct("own", "cls").alias("c"), "cut")
+    at = lambda n: (F.col("p.pivot") == F.col("s.pivot")) & (F.col(f"p.{n}") == F.col("s.c")) & (F.col(f"p.{n}_cut") == F.col("s.cut"))
+    twin = (F.col("p.x") == F.col("p.y")) & (F.col("p.x_cut") == F.col("p.y_cut"))
+    one = seat.alias("s").join(pairs.alias("p"), at("x")).select("s.set_id", "s.pivot", "p.i", "p.j", yes.alias("left"), twin.alias("right"))
+    two = seat.alias("s").join(pairs.alias("p"), at("y")).where(~twin).select("s.set_id", "s.pivot", "p.i", "p.j", no.alias("left"), yes.alias("right"))
+    return links, one.union(two)
+
+
+def linked_documents(docs: DataFrame, size: int, percent: int, small: int, block_sets: int, block_shingles: int, scratch: Scratch, heads: int = 8) -> DataFrame:
     """(doc_id, mark, n, component): the component names a set of linked documents, null for documents without words."""
     rows = scratch.table(first_pass(docs, size, percent), "sets")
     table = docs.sparkSession.sparkContext.broadcast(counters(rows))  # CELLS / 4 bytes
@@ -356,14 +402,18 @@ def linked_documents(docs: DataFrame, size: int, percent: int, small: int, block
     pairs = x.join(y, "pivot").where((F.col("a") < F.col("b")) & (F.least("p", "q") * 100 >= F.greatest("p", "q") * percent))
     pairs = pairs.groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
     likely = scratch.table(bounded(pairs, sets, percent), "likely")
-    one = F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right")
-    small_members = likely.select(F.explode(F.array("a", "b")).alias("set_id"), "pivot").distinct().select("set_id", "pivot", *one)
-    many = seats.join(groups.where(F.col("m") > small), "pivot").withColumn("mine", F.pmod(F.xxhash64("set_id", F.lit(5)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = many.select("set_id", "pivot", "mine", other).select("set_id", "pivot", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    large_members = spread.select("set_id", "pivot", "i", "j", (F.col("mine") == F.col("i")).alias("left"), (F.col("mine") == F.col("j")).alias("right"))
-    members = scratch.table(small_members.union(large_members), "members")
-    links = scratch.table(verified(members, sets, docs, size, percent), "links")
+    zero = F.lit(0).cast("long")
+    one = zero.alias("i"), zero.alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right")
+    members = likely.select(F.explode(F.array("a", "b")).alias("set_id"), "pivot").distinct().select("set_id", "pivot", *one)
+    members = members.union(seats.join(groups.where((F.col("m") > small) & (F.col("blocks") == 1)).select("pivot"), "pivot").select("set_id", "pivot", *one))
+
+    def verify(rows: DataFrame) -> DataFrame:
+        return verified(rows, sets, docs, size, percent)
+
+    parts = by_parts(seats, groups.where(F.col("m") > small), verify, block_sets, block_shingles, heads, scratch)
+    members = scratch.table(members if parts is None else members.union(parts[1]), "members")
+    links = verify(members)
+    links = scratch.table(links if parts is None else links.union(parts[0]), "links")
     scratch.drop(seats, members, likely)
     comp = scratch.table(components(links, scratch), "components")
     named = of_docs.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
