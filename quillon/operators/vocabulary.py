@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-# Forms under which a class of proceedings is cited, by family. A space may be any white space.
-CLASS_FAMILIES: dict[str, list[str]] = {
-    "embargos de declaração": ["Embargos de Declaração", "EDcl", "ED"],
-    "embargos de divergência": ["Embargos de Divergência"],
-    "agravo regimental": ["Agravo Regimental", "AgRg", "Ag. Rg", "AG. REG.", "Terceiro AG. REG"],
-    "agravo interno": ["Agravo Interno", "AgInt", "Ag. Int."],
-    "agravo em recurso especial": ["Agravo em Recurso Especial", "AREsp", "AgREsp"],
-    "agravo em recurso extraordinário": ["Agravo em Recurso Extraordinário", "ARE", "AgREx", "AG.REX"],
-    "agravo de instrumento": ["Agravo de Instrumento", "AI", "AgR-AI"],
-    "agravo": ["Agravo"],
-    "recurso especial eleitoral": ["Recurso Especial Eleitoral", "REspe", "AgR-REspe", "AREspEl", "AREspEI"],
-    "recurso especial": ["Recurso Especial", "REsp", "R. Esp.", "Rec. Esp."],
-    "recurso extraordinário": ["Recurso Extraordinário", "REX", "RE"],
-    "recurso em habeas corpus": ["Recurso em Habeas Corpus", "RHC", "RHAB"],
-    "recurso ordinário": ["Recurso Ordinário", "RO"],
-    "recurso de revista": ["Recurso de Revista", "RR"],
-    "recurso em mandado de segurança": ["Recurso em Mandado de Segurança", "RMS"],
-    "reclamação": ["Reclamação", "Recl.", "Rcl"],
-    "apelação": ["Apelação", "APL"],
-    "recurso em sentido estrito": ["Recurso em Sentido Estrito", "RSE"],
-    "habeas corpus": ["Habeas Corpus", "HC", "H.C."],
-    "ação rescisória": ["Ação Rescisória", "AR", "AC. RES."],
-    "mandado de segurança": ["Mandado de Segurança", "MS"],
-    "suspensão de liminar": ["Suspensão de Liminar e de Sentença", "SLS", "SL"],
-    "agravo em recurso de revista": ["AgARR", "ARR", "Agravo de Instrumento em Recurso de Revista", "AIRR", "AgI/RR", "AG.I/RR"],
-    "representação": ["R-Rp", "Recurso na Representação", "Representação", "RRep"],
-    "investigação eleitoral": ["Ação de Investigação Judicial Eleitoral", "AIJE"],
-    "conflito de jurisdição": ["Conflito de Jurisdição"],
-}
-CLASS_FORMS = sorted({form for forms in CLASS_FAMILIES.values() for form in forms}, key=len, reverse=True)
+# Forms under which a class of proceedings is cited. A space may be any white space.
+CLASS_FORMS = [
+    "Embargos de Declaração", "EDcl", "ED", "Embargos de Divergência", "Agravo Regimental", "AgRg", "Ag. Rg",
+    "AG. REG.", "Terceiro AG. REG", "Agravo Interno", "AgInt", "Ag. Int.", "Agravo em Recurso Especial", "AREsp",
+    "AgREsp", "Agravo em Recurso Extraordinário", "ARE", "AgREx", "AG.REX", "Agravo de Instrumento", "AI", "AgR-AI",
+    "Agravo", "Recurso Especial Eleitoral", "REspe", "AgR-REspe", "AREspEl", "AREspEI", "Recurso Especial", "REsp",
+    "R. Esp.", "Rec. Esp.", "Recurso Extraordinário", "REX", "RE", "Recurso em Habeas Corpus", "RHC", "RHAB",
+    "Recurso Ordinário", "RO", "Recurso de Revista", "RR", "Recurso em Mandado de Segurança", "RMS", "Reclamação",
+    "Recl.", "Rcl", "Apelação", "APL", "Recurso em Sentido Estrito", "RSE", "Habeas Corpus", "HC", "H.C.",
+    "Ação Rescisória", "AR", "AC. RES.", "Mandado de Segurança", "MS", "Suspensão de Liminar e de Sentença", "SLS",
+    "SL", "AgARR", "ARR", "Agravo de Instrumento em Recurso de Revista", "AIRR", "AgI/RR", "AG.I/RR", "R-Rp",
+    "Recurso na Representação", "Representação", "RRep", "Ação de Investigação Judicial Eleitoral", "AIJE",
+    "Conflito de Jurisdição",
+]
 # Words that join classes.
 CONNECTORS = ["o", "a", "os", "as", "no", "na", "nos", "nas"]
 # Signs of an ordinal; of these the letters that count as signs, not as letters.
