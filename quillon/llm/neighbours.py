@@ -210,7 +210,7 @@ def compare(vectors: DataFrame, queries: DataFrame, sizes: DataFrame, k: int, ki
     return once.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, is_query, k: int = 5, tables: int = 3, width: float = 1.0, recall: float = 0.97, sample: int = 4096, bucket_rows: int = 1024, block: int = 4096, query_block: int = 1024, seed: int = 3) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 5, tables: int = 2, width: float = 1.0, recall: float = 0.97, sample: int = 4096, bucket_rows: int = 512, block: int = 4096, query_block: int = 1024, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found to every row of ``rows`` (vec_id, embedding) for which ``is_query`` holds."""
     scratch = Scratch(rows.sparkSession, "neighbours")
     vectors, kind = usable(rows, is_query, scratch)

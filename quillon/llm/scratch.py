@@ -52,7 +52,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> str:
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
-        before = self.spark.conf.get(_CLEANUP)
+        before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")  # nothing rereads the shuffles of a written table
         try:
             df.write.mode("overwrite").parquet(path)
