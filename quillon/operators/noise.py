@@ -162,7 +162,8 @@ def negative_windows(docs: DataFrame, gold: DataFrame, per_doc: int = 8, tries:
     all_ = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), drawn)
     free = lambda x: ~F.exists("gold", lambda s: (s["start"] < x["stop"]) & (s["stop"] > x["start"]))
     kept = F.slice(F.array_distinct(F.filter(all_, free)), 1, per_doc)  # the first of equal windows stays
-    chosen = rows.where(F.size("w") >= 4).select("doc", "text", F.explode(kept).alias("x"))
+    enough = F.when(F.size("w") >= 4, kept)  # a filter on w would be pushed down and split the text twice
+    chosen = rows.select("doc", "text", F.explode(enough).alias("x"))
     return chosen.select("doc", "x.start", "x.stop", F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.stop") - F.col("x.start")).alias("match"))
 
 
