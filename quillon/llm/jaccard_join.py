@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from quillon.llm.components import components
 from quillon.llm.kernels import _K, U, mix, shingles, signed, slices
 from quillon.llm.scratch import Scratch
+from quillon.llm.workers import lean
 
 #: Counters of the frequency table: a byte each while they are counted, two bits once classed; whatever the corpus.
 BITS = 26
@@ -202,7 +203,7 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 packed = (at.astype(np.uint32) << np.uint32(8)) | part[at].astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([s], pa.int32())], _COLUMNS)
 
-    return _columns(docs).mapInArrow(read, _DOCS)
+    return _columns(docs).mapInArrow(lean(read), _DOCS)
 
 
 def counters(rows: DataFrame) -> np.ndarray:
@@ -219,7 +220,7 @@ def counters(rows: DataFrame) -> np.ndarray:
         for s, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([classed(total).tobytes()], pa.binary())], ["slice", "cells"])
 
-    summed = rows.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(add, "slice int, cells binary")
+    summed = rows.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(lean(add), "slice int, cells binary")
     out = np.zeros(CELLS // 4, np.uint8)
     step = CELLS // SLICES // 4
     got = summed.toArrow()
@@ -246,7 +247,7 @@ def signature_rows(docs: DataFrame, shared: Broadcast, size: int, percent: int)
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns))], ["sig", "set_id", "n"])
 
-    return _columns(docs).select("text").mapInArrow(read, "sig long, set_id long, n int")
+    return _columns(docs).select("text").mapInArrow(lean(read), "sig long, set_id long, n int")
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,7 +261,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [linked(min(shared_bound(p.as_py(), q.as_py()), m, n), m, n, percent) for p, q, m, n in zip(fa, fb, na.to_pylist(), nb.to_pylist(), strict=True)]
             yield batch.select([0, 1, 2]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("pivot", "a", "b", "na", "nb", "fa", "fb").mapInArrow(keep, "pivot long, a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("pivot", "a", "b", "na", "nb", "fa", "fb").mapInArrow(lean(keep), "pivot long, a long, b long")
 
 
 def linked_parts(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +315,7 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
                         cols = [pa.array([x[f] for x in part], t) for f, t in (("pivot", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("left", pa.bool_()), ("right", pa.bool_()))]
                         yield pa.RecordBatch.from_arrays([*cols, pa.array([ids[i + k]] * n, pa.int64()), pa.array([body] * n, pa.binary())], ["pivot", "i", "j", "left", "right", "set_id", "body"])
 
-    seated = rows.mapInArrow(seat, "pivot long, i long, j long, left boolean, right boolean, set_id long, body binary")
+    seated = rows.mapInArrow(lean(seat), "pivot long, i long, j long, left boolean, right boolean, set_id long, body binary")
 
     def check(table):
         ids = table.column("set_id").to_numpy()

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import tokens
 from quillon.llm.scratch import Scratch
+from quillon.llm.workers import lean
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -120,7 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
                     rows += [(key, k, s, n, tokens.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(ids, capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(encode, holds=True), _PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, bucket_rows: int = 2_000_000) -> DataFrame:

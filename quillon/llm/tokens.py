@@ -16,6 +16,8 @@ from itertools import chain
 
 import numpy as np
 
+from quillon.llm.workers import HELD
+
 #: With leading spaces kept: a run of white space but its last character, a word with at most one space, one other.
 _KEEP = re.compile(r"\s+(?!\S)| ?\S+|\s")
 _ODD = r"[\x1c-\x1f\x85]"
@@ -108,14 +110,11 @@ class PieceEncoder:
         return text.split() if self.drops_space else _KEEP.findall(text)
 
 
-_HELD: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each worker process and vocabulary file."""
-    if path not in _HELD:
-        _HELD[path] = PieceEncoder(path)
-    return _HELD[path]
+    if path not in HELD:
+        HELD[path] = PieceEncoder(path)
+    return HELD[path]
 
 
 def crc32(ids: np.ndarray) -> int:
