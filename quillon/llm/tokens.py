@@ -37,6 +37,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([_ODD, *added]), re.IGNORECASE)
+        #: Characters one of which every odd string begins with; none where letters of either case begin one.
+        starts = {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.starts = "" if any(c.isalpha() for c in starts) else "\x1c\x1d\x1e\x1f\x85" + "".join(sorted(starts))
         self.drops_space = not self.whole([" \n "])[0]
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -45,6 +48,12 @@ class PieceEncoder:
         self.break_id = int(np.frombuffer(self.whole([self.break_])[0], np.uint32)[0])
         self.mark = dict(zip(".,", self.whole([".", ","]), strict=True))
 
+    def is_odd(self, text: str) -> bool:
+        """Whether the text must be encoded whole; most texts hold none of the characters that could make it so."""
+        if self.starts and not any(c in text for c in self.starts):
+            return False
+        return self.odd.search(text) is not None
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -52,9 +61,14 @@ class PieceEncoder:
         """Ids of each piece: single words as one text with breaks, which costs the library far less than a call for each."""
         out: list[bytes | None] = [None] * len(pieces)
         plain, rest = [], []
-        for k, p in enumerate(pieces):
-            core = p[1:] if p[0] == " " else p
-            (plain if self.break_ not in p and core.split() == [core] and not self.odd.search(p) else rest).append(k)
+        for i in range(0, len(pieces), 2000):  # checked at once; one by one only where some piece isn't a plain word
+            cores = [p[1:] if p[0] == " " else p for p in pieces[i : i + 2000]]
+            line = " ".join(cores)
+            if self.break_ not in line and line.split() == cores and not self.is_odd(line):
+                plain += range(i, i + len(cores))
+                continue
+            for k, core in enumerate(cores, i):
+                (plain if self.break_ not in core and core.split() == [core] and not self.odd.search(pieces[k]) else rest).append(k)
         glue = f" {self.break_} " if self.drops_space else self.break_
         for i in range(0, len(plain), 2000):
             part = plain[i : i + 2000]
@@ -105,7 +119,7 @@ class PieceEncoder:
     def pieces(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.odd.search(text):
+        if self.is_odd(text):
             return [text]
         return text.split() if self.drops_space else _KEEP.findall(text)
 

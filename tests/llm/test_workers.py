@@ -35,3 +35,26 @@ def test_a_worker_drops_its_encoder_when_another_operator_starts(spark):
     assert held() is None
     assert sets[0].column(3).to_pylist() == [4, 0, 0, 4]
     assert task(pack, ids, TEXTS) == first
+
+
+class Counting:
+    """A pattern that counts its searches."""
+
+    def __init__(self, pattern):
+        self.pattern, self.n = pattern, 0
+
+    def search(self, text):
+        self.n += 1
+        return self.pattern.search(text)
+
+
+def test_new_words_are_checked_together(spark):
+    words = [f"wörd{k}x" for k in range(9000)]
+    texts = [" ".join(words), "a | b", "x\x85y", "<|EndOfText|>", "<|endoftext|>", "one <|endoftext|> two", "< | >", " ", "\x1c", "q. r, <s>."]
+    for file in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = tokens.PieceEncoder(contracts.vocabulary(file))
+        assert [x.tobytes() for x in enc.encode(texts)] == enc.whole(texts)
+        enc = tokens.PieceEncoder(contracts.vocabulary(file))
+        enc.odd = Counting(enc.odd)
+        enc.encode(texts[:1])
+        assert enc.odd.n < 3000  # not one for each of the 9000 words
