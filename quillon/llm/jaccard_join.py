@@ -53,6 +53,8 @@ BITS = 26
 RARE, FREQUENT = 2, 64
 CELLS = 1 << BITS
 SLICES = 32
+#: Bits of the table of documents whose texts are asked for; where it fills up, more texts are shuffled, none is lost.
+LISTED = 1 << 26
 _DOCS = "doc_id long, mark long, set_id long, n long, folded binary, cells binary, slice int"
 _COLUMNS = [f.split()[0] for f in _DOCS.split(", ")]
 BUCKET = 1.25
@@ -292,11 +294,46 @@ def linked_parts(left: list[np.ndarray], right: list[np.ndarray], percent: int)
         a, b = a2, b2
 
 
-def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def listed(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """doc_id, mark and text of the documents named in ``wanted`` (its_id, its_mark), and of few others; and the table that
+    tells, to be freed at the end. A text that nobody asks for is passed over where it is read, and never shuffled.
+    """
+    width = LISTED // SLICES
+    spot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(LISTED))
+
+    def fill(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for batch in rows:
+            at = batch.column(0).to_numpy()
+            for s in np.unique(at // width).tolist():
+                bits.setdefault(s, np.zeros(width, bool))[at[at // width == s] % width] = True
+        for s, row in bits.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(row).tobytes()], pa.binary())], ["slice", "bits"])
+
+    at = wanted.select(spot("its_id", "its_mark").alias("at")).repartition(SLICES, F.expr(f"at div {width}"))
+    table = np.zeros(LISTED // 8, np.uint8)
+    got = at.mapInArrow(lean(fill), "slice int, bits binary").toArrow()  # LISTED / 8 bytes at most reach the driver
+    for s, bits in zip(got.column("slice").to_pylist(), got.column("bits"), strict=True):
+        table[s * width // 8 : (s + 1) * width // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            asked = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            yield batch.select([0, 1, 2]).filter(pa.array(asked.astype(bool)))
+
+    rows = _columns(docs).select("doc_id", "mark", "text", spot("doc_id", "mark").alias("at"))
+    return rows.mapInArrow(lean(keep), "doc_id long, mark long, text string"), shared
+
+
+def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join what is linked within each group. members: set_id, group (pivot, i, j), left, right: which side of it."""
     seats = members.groupBy("set_id").agg(F.collect_list(F.struct("pivot", "i", "j", "left", "right")).alias("seats"))  # as many as a set has signatures at most
     wanted = sets.select("set_id", F.col("holder.doc_id").alias("its_id"), F.col("holder.mark").alias("its_mark")).join(seats, "set_id")
-    found = _columns(docs)
+    wanted = scratch.table(wanted, "wanted")
+    found, shared = listed(docs, wanted)
     rows = found.join(wanted.hint("shuffle_hash"), found["doc_id"].eqNullSafe(F.col("its_id")) & (found["mark"] == F.col("its_mark"))).select("set_id", "text", "seats")
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +372,10 @@ def verified(members: DataFrame, sets: DataFrame, docs: DataFrame, size: int, pe
         pairs = pairs[:, pairs[0] != pairs[1]]
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-    return seated.groupBy("pivot", "i", "j").applyInArrow(check, "a long, b long")
+    links = scratch.table(seated.groupBy("pivot", "i", "j").applyInArrow(check, "a long, b long"), "links")
+    shared.destroy()
+    scratch.drop(wanted)
+    return links
 
 
 def by_parts(seats: DataFrame, groups: DataFrame, verify, block_sets: int, block_shingles: int, heads: int, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
@@ -355,7 +395,7 @@ def by_parts(seats: DataFrame, groups: DataFrame, verify, block_sets: int, block
     left = few.select("set_id", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"), yes.alias("left"), no.alias("right"))
     right = big.select("set_id", "pivot", F.col("mine").alias("j"), no.alias("left"), yes.alias("right"))
     both = left.union(right).groupBy("set_id", "pivot", "j").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    links = scratch.table(verify(scratch.table(both.select("set_id", "pivot", F.lit(-1).cast("long").alias("i"), "j", "left", "right"), "heads")), "head-links")
+    links = verify(scratch.table(both.select("set_id", "pivot", F.lit(-1).cast("long").alias("i"), "j", "left", "right"), "heads"))
 
     comp = scratch.table(components(links, scratch), "head-parts").withColumnRenamed("node", "set_id")
     named = big.join(comp, "set_id", "left")
@@ -409,12 +449,12 @@ def linked_documents(docs: DataFrame, size: int, percent: int, small: int, block
     members = members.union(seats.join(groups.where((F.col("m") > small) & (F.col("blocks") == 1)).select("pivot"), "pivot").select("set_id", "pivot", *one))
 
     def verify(rows: DataFrame) -> DataFrame:
-        return verified(rows, sets, docs, size, percent)
+        return verified(rows, sets, docs, size, percent, scratch)
 
     parts = by_parts(seats, groups.where(F.col("m") > small), verify, block_sets, block_shingles, heads, scratch)
     members = scratch.table(members if parts is None else members.union(parts[1]), "members")
     links = verify(members)
-    links = scratch.table(links if parts is None else links.union(parts[0]), "links")
+    links = links if parts is None else links.union(parts[0])
     scratch.drop(seats, members, likely)
     comp = scratch.table(components(links, scratch), "components")
     named = of_docs.join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")

@@ -1,6 +1,8 @@
 """What Python workers hold on to between tasks, and the cost of checks a piece."""
 
 import gc
+import random
+import time
 import weakref
 
 import pyarrow as pa
@@ -58,3 +60,21 @@ def test_new_words_are_checked_together(spark):
         enc.odd = Counting(enc.odd)
         enc.encode(texts[:1])
         assert enc.odd.n < 3000  # not one for each of the 9000 words
+
+
+def test_texts_nobody_asks_for_are_not_shuffled(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.randbytes(30).hex() for _ in range(300)) for _ in range(400)]
+    texts += [texts[7] + " end", texts[7], texts[8] + " end"]
+    rows = [(k if k % 3 else None, t) for k, t in enumerate(texts)] + [(9, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        time.sleep(0.5)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = written()
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert written() - before < sum(map(len, texts)) / 3
+    assert {(400, 7), (401, 7), (7, 7), (8, 8)} <= got and (9, 7) in got and len([x for x in got if x[1] == 7]) == 4
