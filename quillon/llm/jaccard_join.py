@@ -208,7 +208,7 @@ def first_pass(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return _columns(docs).mapInArrow(lean(read), _DOCS)
 
 
-def counters(rows: DataFrame) -> np.ndarray:
+def counters(rows: DataFrame, scratch: Scratch) -> np.ndarray:
     """The table of frequency classes: ``CELLS / 4`` bytes reach the driver."""
 
     def add(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,9 @@ def counters(rows: DataFrame) -> np.ndarray:
     summed = rows.where("slice is not null").select("slice", "cells").repartition(SLICES, "slice").mapInArrow(lean(add), "slice int, cells binary")
     out = np.zeros(CELLS // 4, np.uint8)
     step = CELLS // SLICES // 4
+    summed = scratch.table(summed, "classes")  # the shuffle of all tasks' counters goes with it
     got = summed.toArrow()
+    scratch.drop(summed)
     for s, cells in zip(got.column("slice").to_pylist(), got.column("cells"), strict=True):
         out[s * step : (s + 1) * step] = np.frombuffer(cells.as_buffer(), np.uint8)
     return out
@@ -425,8 +427,9 @@ def by_parts(seats: DataFrame, groups: DataFrame, verify, block_sets: int, block
 def linked_documents(docs: DataFrame, size: int, percent: int, small: int, block_sets: int, block_shingles: int, scratch: Scratch, heads: int = 8) -> DataFrame:
     """(doc_id, mark, n, component): the component names a set of linked documents, null for documents without words."""
     rows = scratch.table(first_pass(docs, size, percent), "sets")
-    table = docs.sparkSession.sparkContext.broadcast(counters(rows))  # CELLS / 4 bytes
-    of_docs = rows.where("slice is null").select("doc_id", "mark", "set_id", "n", "folded")
+    table = docs.sparkSession.sparkContext.broadcast(counters(rows, scratch))  # CELLS / 4 bytes
+    of_docs = scratch.table(rows.where("slice is null").select("doc_id", "mark", "set_id", "n", "folded"), "documents")
+    scratch.drop(rows)  # with the counters, as large again
     sets = of_docs.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "mark")).alias("holder"), F.first("n").alias("n"), F.first("folded").alias("folded"))
 
     over = "over (partition by sig)"
