@@ -388,7 +388,7 @@ _SPOKEN = f"(CASE WHEN o_orderkey % 2 = 0 THEN {_PHRASE} ELSE replace(upper(subs
 @query("phrase_spans", f"SELECT CAST(o_orderkey AS VARCHAR) AS doc, CAST(length('Segundo ') AS INT) AS start, CAST(length('Segundo ' || {_SPOKEN}) AS INT) AS stop, {_PHRASE} AS phrase FROM orders")
 def phrase_spans(spark, sf):
     """Vague phrases, half of them with a capital and without tildes, one in the text of each order."""
-    docs = table(spark, sf, "orders").selectExpr("CAST(o_orderkey AS STRING) AS doc", f"'Segundo ' || {_SPOKEN} || ' 12.3 x (y).' AS text")
+    docs = planted.order_keys(spark, sf).selectExpr("CAST(o_orderkey AS STRING) AS doc", f"'Segundo ' || {_SPOKEN} || ' 12.3 x (y).' AS text")
     return phrases.phrase_spans(docs).select("doc", "start", "stop", "phrase")
 
 

@@ -9,6 +9,7 @@ from quillon.operators import noise as N
 from quillon.operators import phrases as P
 from quillon.operators import vocabulary as v
 from quillon.operators.extraction import find_spans
+from quillon.plans import planted, queries
 
 
 def test_unseen_classes():
@@ -140,3 +141,21 @@ def test_experiment(spark):
 def test_wilcoxon():
     assert E.wilcoxon([1, 2, 3, 4, 5], [0, 0, 0, 0, 0]) == pytest.approx(0.0625)
     assert E.wilcoxon([1, 2], [1, 2]) == 1.0 and E.wilcoxon([1, -1], [0, 0]) == 1.0
+
+
+def test_phrases_compare_few_windows(monkeypatch):
+    """Windows next to a phrase, and those of like phrases, are settled without their ratio."""
+    made = []
+    real = difflib.SequenceMatcher
+    monkeypatch.setattr(P.difflib, "SequenceMatcher", lambda *a: made.append(a) or real(*a))
+    texts = [f"Segundo {p} 12.3 x{i} (y)." for i, (p, _) in enumerate(P.PHRASES)]
+    found = P.find_phrases(texts, P.PHRASES)
+    assert [[(f[0], f[3]) for f in one] for one in found] == [[(1.0, p)] for p, _ in P.PHRASES]
+    assert len(made) <= 2 * len(texts)
+
+
+def test_texts_of_orders_are_dealt_over_the_cluster(spark, tmp_path):
+    """One small file of keys becomes texts in many tasks."""
+    spark.range(50).withColumnRenamed("id", "o_orderkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for rows in (planted.documents(spark, str(tmp_path)), queries.phrase_spans(spark, str(tmp_path))):
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
