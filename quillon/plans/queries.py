@@ -311,7 +311,7 @@ _DOC = "CAST(k AS VARCHAR) AS doc"
 
 
 def planted_spans(spark, sf, *kinds):
-    found = extract(planted.documents(spark, sf)).where("error is null")
+    found = extract(planted.documents(spark, sf), numbers_only=bool(kinds) and {*kinds} <= {"numero", "sumula"}).where("error is null")
     return found.where(F.col("kind").isin(*kinds)) if kinds else found
 
 
